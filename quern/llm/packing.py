@@ -15,6 +15,7 @@ full length, of which only the first may be shorter; extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,16 +37,24 @@ ROUNDS, RATE, PRICE_POWER, LEAD, COVER = 400, 0.3, 1.05, 0.3, 0.98
 #: So many sequences' worth of pieces or fewer are packed best fit decreasing.
 TAIL = 64
 #: Entries that a worker's memory of token ids holds before it is emptied.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Pieces per chunk when ranks are counted.
 CHUNK_ROWS = 50_000
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """Token ids as little-endian bytes; remembers the ids of words, as BPE never merges across them.
 
     A text is cut before every space that follows other than white space, which is a boundary of the
-    tokenizer's words too; any other text, and one with a special token's string, is encoded as a whole.
+    tokenizer's words too, and a cut not met before goes to the tokenizer's model word by word. Any
+    other text, and one with a special token's string, is encoded as a whole.
     """
 
     def __init__(self, name: str) -> None:
@@ -55,40 +64,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = regex.compile(public_tokenizers.PATTERN)
-        self.of_word: dict[str, bytes] = {}
+        self.model, letters = self.tokenizer.model, byte_letters()
+        self.letters, self.space = str.maketrans({chr(b): x for b, x in enumerate(letters)}), letters[32]
         self.of_cut: dict[str, bytes | None] = {"": None}
+        self.of_word: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, cuts: set[str]) -> None:
+    def of_letters(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def spaced(self, word: str) -> bytes:
+        """The ids of a space and a word of letters alone."""
+        found = self.of_cut.get(word)
+        if found is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            self.of_cut[word] = found = self.of_letters(self.space + letters)
+        return found
+
+    def word(self, word: str) -> bytes:
+        found = self.of_word.get(word)
+        if found is None:
+            self.of_word[word] = found = self.of_letters(word.encode().decode("latin-1").translate(self.letters))
+        return found
+
+    def learn(self, cuts: list[str]) -> None:
         """Have the ids of these cuts, each without the space that it begins with, in memory."""
-        if len(self.of_cut) + len(cuts) > CACHE:
+        if len(self.of_cut) > CACHE:
             self.of_cut = {"": None}
         if len(self.of_word) > CACHE:
             self.of_word = {}
-        new = [c for c in cuts if c not in self.of_cut]
-        split = {c: self.words.findall(" " + c) for c in new if not c[-1].isspace()}
-        unseen = list({w for words in split.values() for w in words}.difference(self.of_word))
-        for word, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.of_word[word] = np.array(e.ids, "<u4").tobytes()
-        for c in new:
-            self.of_cut[c] = b"".join([self.of_word[w] for w in split[c]]) if c in split else None
+        known = self.of_cut
+        for c in cuts:
+            if c in known:
+                continue
+            if c.isalpha():
+                self.spaced(c)
+            elif c[-1].isspace():
+                known[c] = None
+            else:
+                first, *rest = self.words.findall(" " + c)
+                head = self.spaced(first[1:]) if first[1:].isalpha() else self.word(first)
+                known[c] = head + b"".join(map(self.word, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [None if any(s in t for s in self.specials) else t.split(" ") for t in texts]
-        self.learn({c for part in cuts if part for c in part[1:] if c})
         out = []
-        for text, part in zip(texts, cuts, strict=True):
-            if part is None or not part[0] and len(part) > 1 or part[0][-1:].isspace():
+        for text in texts:
+            part = text.split(" ")
+            if not part[0] and len(part) > 1 or part[0][-1:].isspace() or any(s in text for s in self.specials):
                 out.append(self.whole(text))
                 continue
+            first, rest = part[0], part[1:]
             try:
-                rest = b"".join(map(self.of_cut.__getitem__, part[1:]))
-            except TypeError:  # None: white space before a space
-                out.append(self.whole(text))
-                continue
-            out.append((self.whole(part[0]) if part[0] else b"") + rest)
+                ids = b"".join(map(self.of_cut.__getitem__, rest))
+            except (KeyError, TypeError):  # a cut not met yet, or white space before a space
+                self.learn(rest)
+                found = list(map(self.of_cut.__getitem__, rest))
+                if None in found:
+                    out.append(self.whole(text))
+                    continue
+                ids = b"".join(found)
+            out.append(b"".join(map(self.word, self.words.findall(first))) + ids)
         return out
 
 
@@ -118,9 +156,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = []
-            for at in range(0, len(texts), 128):
-                ids += encoder(tokenizer).encode(texts[at : at + 128])
+            ids = encoder(tokenizer).encode(texts)
             out = [(doc, *p) for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True) for p in cut(x + end, capacity)]
             columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
