@@ -107,7 +107,7 @@ class Benchmark:
         hashes = [grams(c) for c in self.codes]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order].astype(np.int64)
+        self.item = np.repeat(np.arange(len(hashes)), np.array([len(h) for h in hashes], np.int64))[order].astype(np.int64)
         self.at = (np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64))[order]
         self.grams, self.first = np.unique(flat[order], return_index=True)
         self.count = np.diff(np.r_[self.first, len(flat)])
@@ -158,14 +158,12 @@ class Benchmark:
                 best.setdefault((d, j), []).append((0, a, a + m, int(shared[i])))
                 continue
             base = b * (e + 1) - m  # the band's first diagonal
-            lo = max(low[d], low[d] + base - e)
-            width = int(low[d] + base + 3 * (e + 1) - lo)
-            region = codes[lo : min(high[d], lo + m + width)]
-            if width < 1:
-                continue
+            lo, width = int(low[d]) + base - e, 3 * (e + 1) + e
+            # Before the text's first place there is nothing that an item's character could equal.
+            region = np.r_[np.full(max(0, int(low[d]) - lo), EDGE), codes[max(lo, int(low[d])) : min(int(high[d]), lo + m + width)]]
             cost, a, z = align(self.codes[j], region, width)
             if cost <= e:
-                best.setdefault((d, j), []).append((cost, int(lo + a), int(lo + z), int(shared[i])))
+                best.setdefault((d, j), []).append((cost, max(lo + a, int(low[d])), lo + z, int(shared[i])))
         for (d, j), places in best.items():
             kept: list[tuple] = []
             for place in sorted(places):  # of overlapping places the one with the fewest edits

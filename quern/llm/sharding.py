@@ -125,15 +125,15 @@ def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str
     flow = cheapest_flow(supply, capacity, stays)
     shares = spark.createDataFrame(borders(flow, stays), "share_of int, low long, high long, shard int")
     changed = sorted({x for i, j in flow if i != j for x in (i, j) if x < len(capacity)} | {j for _, j in flow if j >= old_count})
-    own = Window.partitionBy("old_shard", "block").orderBy(F.col(id_col).asc_nulls_last(), "__crc").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocked.withColumns({"__crc": row_crc(text), "__size": row_size(text)})
-    placed = placed.withColumn("__at", F.coalesce(F.sum("__size").over(own), F.lit(0)))
-    placed = placed.join(starts, ["old_shard", "block"]).withColumn("__at", F.col("before") + F.col("__at")).drop("before")
+    own = Window.partitionBy("old_shard", "block").orderBy(F.col("id").asc_nulls_last(), "crc").rowsBetween(Window.unboundedPreceding, -1)
+    kept = [c for c in docs.columns if c not in ("old_shard", "block", "shard")]
+    # The row's own columns travel as one, so that none of their names meets one of those added here.
+    placed = blocked.select(F.struct(*kept).alias("doc"), "old_shard", "block", F.col(id_col).alias("id"), row_crc(text).alias("crc"), row_size(text).alias("size"))
+    placed = placed.withColumn("at", F.coalesce(F.sum("size").over(own), F.lit(0))).join(starts, ["old_shard", "block"])
     # One share per pair of old and new shard, as many as the shards allow; a document goes where its middle lies.
-    middle = F.col("__at") + F.floor(F.col("__size") / 2)
-    placed = placed.drop("shard").join(F.broadcast(shares), (F.col("old_shard") == F.col("share_of")) & (middle >= F.col("low")) & (middle < F.col("high")))
-    kept = placed.where(F.col("shard").isin(changed)).drop("__crc", "__size", "__at", "share_of", "low", "high")
-    kept.write.partitionBy("shard").parquet(path)
+    middle = F.col("before") + F.col("at") + F.floor(F.col("size") / 2)
+    placed = placed.join(F.broadcast(shares), (F.col("old_shard") == F.col("share_of")) & (middle >= F.col("low")) & (middle < F.col("high")))
+    placed.where(F.col("shard").isin(changed)).select("doc.*", "old_shard", "block", "shard").write.partitionBy("shard").parquet(path)
     return changed, flow
 
 

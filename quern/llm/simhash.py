@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, shared_dir, utf8, written
+from quern.llm.common import map_batches, shared_dir, unused, utf8, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
@@ -220,9 +220,10 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, text: str = "text", id_c
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("text_hash").alias("h"))
     keep = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.n").alias("kn"), F.col("k.i").alias("ki"), F.col("k.h").alias("kh"))
     key = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(text)]
-    kept = docs.join(keep, (key[0] == F.col("kn")) & (key[1] == F.col("ki")) & (key[2] == F.col("kh")), "left_semi")
+    kept = docs.join(keep, (key[0] == keep["kn"]) & (key[1] == keep["ki"]) & (key[2] == keep["kh"]), "left_semi")
     repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
     if repeated.isEmpty() and groups.where(F.col("doc_id").isNull()).isEmpty():
         return kept
     one = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(0))
-    return kept.withColumn("__one", F.row_number().over(one)).where("__one = 1").drop("__one")
+    place = unused(docs, "place")
+    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)

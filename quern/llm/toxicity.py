@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, small_batches
+from quern.llm.common import map_batches, small_batches, unused
 
 FEATURE_BITS = 20
 #: Bound on the labelled rows that a model is fitted on.
@@ -97,11 +97,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[in
     return {r["feature"]: r["weight"] for r in chosen.coalesce(1).mapInPandas(fit, "feature long, weight double").collect()}
 
 
-def scored(docs: DataFrame, model: dict[int, float], extra: list[str] | None = None) -> DataFrame:
-    """The columns of extra (all of docs by default) and the score of every row."""
+def scored(docs: DataFrame, model: dict[int, float], score: str, extra: list[str] | None = None) -> DataFrame:
+    """The columns of extra (all of docs by default) and the score of every row, named as given."""
     columns = docs.columns if extra is None else extra
     shared = docs.sparkSession.sparkContext.broadcast((np.fromiter(model, np.int64, len(model)), np.fromiter(model.values(), float, len(model))))
-    schema = docs.select(*columns).withColumn("__score", F.lit(0.0)).schema
+    schema = docs.select(*columns).withColumn(score, F.lit(0.0)).schema
     state: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -111,26 +111,26 @@ def scored(docs: DataFrame, model: dict[int, float], extra: list[str] | None = N
             table[at[at >= 0]] = w[at >= 0]
             state.update(table=table, some=table != 0, bias=w[at < 0], hashes=WordHashes())
         out = []
-        for text in batch.column("__text").to_pylist():
+        for text in batch.columns[-1].to_pylist():
             if not len(state["bias"]):
                 out.append(0.0)
                 continue
             f = features(text or "", state["hashes"])
             f = np.unique(f[state["some"][f]])
             out.append(1 / (1 + np.exp(-np.clip(state["bias"][0] + state["table"][f].sum(), -35, 35))))
-        columns_out = [batch.column(c) for c in columns]
-        return pa.RecordBatch.from_arrays([*columns_out, pa.array(out, pa.float64())], [*columns, "__score"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*columns, score])
 
-    return map_batches(docs.select(*columns, F.col("text").alias("__text")), run, schema)
+    return map_batches(docs.select(*columns, F.col("text").alias("__scored_text")), run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    out = scored(docs, train(docs, labels), ["doc_id"])
-    return out.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(docs, train(docs, labels), "score", ["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below one half."""
-    return scored(docs, train(docs, labels)).where("__score < 0.5").drop("__score")
+    score = unused(docs, "score")
+    return scored(docs, train(docs, labels), score).where(F.col(score) < 0.5).drop(score)
