@@ -29,6 +29,8 @@ FEATURE_BITS = 20
 TRAIN_ROWS = 16_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
+#: How many times a toxic row counts: they are few, and a model that misses them is of no use.
+TOXIC_WEIGHT = 3.0
 WORD = re.compile(r"[^\W_]+")
 #: Words whose hashes a worker keeps; beyond it the memory is emptied.
 CACHE_WORDS = 200_000
@@ -65,6 +67,7 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
             zf, nf = z[f], n[f]
             w = np.where(np.abs(zf) <= L1, 0.0, -(zf - np.sign(zf) * L1) / ((BETA + np.sqrt(nf)) / ALPHA + L2))
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - labels[k]
+            g *= TOXIC_WEIGHT if labels[k] else 1.0
             sigma = (np.sqrt(nf + g * g) - np.sqrt(nf)) / ALPHA
             z[f] = zf + g - sigma * w
             n[f] = nf + g * g
