@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import cosine, min_max, shared_depth
+from quern.functions.text import all_nines
 from quern.operators.relational import top_per_group
 
 PROFILE_WEIGHTS = (0.4, 0.3, 0.3)
@@ -44,16 +45,20 @@ def similar_items(items: DataFrame, queries: DataFrame, key: str, path: str, vec
     b = items.select(F.col(key), F.col(path).alias("__p"), F.col(vector).alias("__v"), F.col(path)[0].alias("__top"))
     pairs = b.join(a, "__top").where(F.col("query") != F.col(key))
     scored = pairs.select("query", key, shared_depth(F.col("__qp"), F.col("__p")).alias("depth"), F.round(cosine(F.col("__qv"), F.col("__v")), 6).alias("similarity"))
-    return top_per_group(scored, ["query"], [F.col("depth").desc(), F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
+    return best_of(scored, key, [F.col("depth").desc(), F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
+
+
+def best_of(scored: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+    """The k best rows of each query; parts of a query's rows keep their own best first, so that they never all meet in one task."""
+    parts = scored.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64)))
+    return top_per_group(top_per_group(parts, ["query", "__part"], order, k).drop("position", "__part"), ["query"], order, k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k vectors most like each query, by cosine. queries: a stated, small set, broadcast."""
     asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
     scored = vectors.join(F.broadcast(asked), F.col("query") != F.col(key)).select("query", key, F.round(cosine(F.col(vector), F.col("__q")), 6).alias("similarity"))
-    # Each task keeps its own best k first, so that no query's rows all meet in one task.
-    local = top_per_group(scored.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(64))), ["query", "__part"], [F.col("similarity").desc_nulls_last(), F.col(key).asc()], k).drop("position", "__part")
-    return top_per_group(local, ["query"], [F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
+    return best_of(scored, key, [F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
 
 
 def voucher_profile(df: DataFrame, shop: str, key: str, voucher: str, discount: str, price: str, value: str, least: int = 5) -> DataFrame:
@@ -98,6 +103,12 @@ def token_frequency(df: DataFrame, key: str, tokens: Column, rare: float = 0.05)
     return out.withColumn("rare", F.col("share") <= rare).drop("__all")
 
 
+def review_candidates(df: DataFrame, group: list[str], value: str, p: float = 0.999, nines: int = 7) -> DataFrame:
+    """Rows whose value is all nines, or above the p-th percentile of their group."""
+    edges = df.groupBy(*group).agg(F.percentile(value, p).alias("edge"))
+    return df.join(edges, group).where((F.col(value) > F.col("edge")) | all_nines(F.col(value), nines)).drop("edge")
+
+
 def value_index(df: DataFrame, ref: str, market: str, value: str, folded: Column) -> DataFrame:
     """(ref, market, folded, originals, ambiguous): what a folded spelling may stand for."""
     out = df.where(F.col(value).isNotNull()).select(F.lit(ref).alias("ref"), F.col(market).alias("market"), folded.alias("folded"), F.col(value).alias("v")).distinct()

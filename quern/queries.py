@@ -442,12 +442,15 @@ def _percentiles(column: str, descending: bool = False) -> str:
     return f"CASE WHEN {column} IS NULL THEN NULL WHEN fallback THEN coalesce({one('market')}, 0.5) ELSE coalesce({one('market, category')}, 0.5) END"
 
 
-@query(TRANSITION_SQL + f""", last AS (SELECT p.listing, p.market, CASE WHEN p.category < 2 THEN NULL ELSE p.category END AS category, arg_max(p.views, p.date) AS monthly_sold, arg_max(p.price, p.date) AS revenue, DATE '2024-01-31' - max(p.date) AS days_since_activity FROM panel p GROUP BY 1, 2, 3),
+SCORE_SQL = TRANSITION_SQL + f""", last AS (SELECT p.listing, p.market, CASE WHEN p.category < 2 THEN NULL ELSE p.category END AS category, arg_max(p.views, p.date) AS monthly_sold, arg_max(p.price, p.date) AS revenue, DATE '2024-01-31' - max(p.date) AS days_since_activity FROM panel p GROUP BY 1, 2, 3),
 d AS (SELECT listing, arg_max(sold_delta, date) FILTER (sold_delta IS NOT NULL) AS sold_delta FROM moves GROUP BY 1),
 c AS (SELECT last.*, d.sold_delta, (last.category IS NULL OR count(*) OVER (PARTITION BY last.market, last.category) < 12) AS fallback FROM last LEFT JOIN d ON last.listing = d.listing),
 s AS (SELECT *, {_percentiles("days_since_activity", True)} AS activity, {_percentiles("monthly_sold")} AS sold_p, {_percentiles("sold_delta")} AS delta_p, {_percentiles("revenue")} AS value FROM c),
 m AS (SELECT *, CASE WHEN delta_p IS NULL THEN sold_p ELSE 0.7 * sold_p + 0.3 * delta_p END AS momentum FROM s)
-SELECT listing, market, fallback, round(activity, 4) AS activity, round(momentum, 4) AS momentum, round(value, 4) AS value, round(100 * (0.3 * activity + 0.4 * momentum + 0.3 * value), 2) AS score FROM m""")
+"""
+
+
+@query(SCORE_SQL + """SELECT listing, market, fallback, round(activity, 4) AS activity, round(momentum, 4) AS momentum, round(value, 4) AS value, round(100 * (0.3 * activity + 0.4 * momentum + 0.3 * value), 2) AS score FROM m""")
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily_panel(spark, sf_dir).withColumn("category", F.when(F.col("category") >= 2, F.col("category")))
     last = rows.groupBy("listing", "market", "category").agg(F.max_by("views", "date").alias("monthly_sold"), F.max_by("price", "date").alias("revenue"), F.date_diff(F.lit("2024-01-31").cast("date"), F.max("date")).alias("days_since_activity"))
@@ -456,6 +459,12 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("listing", "market", "fallback", *(F.round(c, 4).alias(c) for c in ("activity", "momentum", "value")), F.round("score", 2).alias("score"))
 
 
+@query(SCORE_SQL + """SELECT segment, count(*) AS n FROM (SELECT CASE WHEN s IS NULL THEN 'InsufficientData' WHEN a < 0.2 AND m < 0.2 THEN 'Dormant' WHEN m < 0.3 THEN 'Cooling' WHEN m >= 0.8 AND v >= 0.8 THEN 'Star' WHEN m >= 0.6 THEN 'Rising' ELSE 'Steady' END AS segment
+FROM (SELECT round(activity, 4) AS a, round(momentum, 4) AS m, round(value, 4) AS v, activity + momentum + value AS s FROM m)) GROUP BY segment""")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.value_counts(scorecard(spark, sf_dir).withColumn("segment", mart.segment()), "segment")
+
+
 @query(r"""WITH t AS (SELECT p_partkey, p_name, regexp_split_to_array(lower(p_name), ' ') AS w FROM part), x AS (SELECT DISTINCT p_partkey, unnest(w) AS token FROM t), n AS (SELECT count(*) AS n FROM part)
 SELECT token, count(DISTINCT p_partkey) AS documents, round(count(DISTINCT p_partkey) / any_value(n), 6) AS share, round(count(DISTINCT p_partkey) / any_value(n), 6) <= 0.05 AS rare FROM x, n WHERE length(token) >= 3 GROUP BY token""")
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,7 +484,9 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
 
 
-@query()
+@query("""WITH s AS (SELECT q.vec_id AS query, i.vec_id, CAST(1 + CASE WHEN q.vec_id % 3 = i.vec_id % 3 THEN 1 ELSE 0 END AS INT) AS depth, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) AS similarity
+FROM embeddings q JOIN embeddings i ON q.label = i.label AND q.vec_id <> i.vec_id WHERE q.vec_id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY depth DESC, similarity DESC, vec_id) AS position FROM s)
+SELECT query, vec_id, depth, similarity, CAST(position AS INT) AS position FROM n WHERE position <= 5""")
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.array(F.col("label"), F.col("vec_id") % 3).alias("path"))
     return tools.similar_items(items, items.where("vec_id % 100 = 0"), "vec_id", "path", "embedding")
@@ -519,3 +530,69 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = windows.sessions(windows.stamped(table(spark, sf_dir, "events")), "6 hours", "1 hour", ["user_id"], {"n": F.count(F.lit(1))})
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+# --- scalar functions ------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, lower(replace(p_brand, '#', ' ')) AS folded, 'part:' || p_partkey || ':' || p_size AS key, substr(sha256('part|' || p_name), 1, 16) AS id, p_name AS plain, contains(p_brand, '#1') AS marked FROM part""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decorated = F.concat(F.lit(" [new]  "), F.replace("p_name", F.lit(" "), F.lit("   ")), F.lit(" (sale)"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.fold(F.col("p_brand")).alias("folded"), F.concat_ws(":", F.lit("part"), "p_partkey", "p_size").alias("key"), text.short_hash(F.lit("part"), F.col("p_name")).alias("id"),
+        text.without_decoration(decorated).alias("plain"), text.contains(F.col("p_brand"), "#1").alias("marked"),
+    )
+
+
+@query("SELECT p_partkey, round(1 - levenshtein(p_name, 'small ring') / CAST(greatest(length(p_name), 10) AS DOUBLE), 6) AS similarity FROM part")
+def string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(text.similarity(F.col("p_name"), F.lit("small ring")), 6).alias("similarity"))
+
+
+@query("""SELECT CASE WHEN d = 0 THEN '0' WHEN d > 0 AND d <= 2 THEN '(0,2]' WHEN d > 2 AND d <= 5 THEN '(2,5]' WHEN d > 5 AND d <= 10 THEN '(5,10]' END AS bucket, count(*) AS n FROM (SELECT round(l_discount * 100, 2) AS d FROM lineitem) GROUP BY 1""")
+def value_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    percent = F.round(F.col("l_discount") * 100, 2)
+    return r.value_counts(table(spark, sf_dir, "lineitem").select(numbers.bucket(percent, [0, 2, 5, 10]).alias("bucket")), "bucket")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "events").select(F.from_json("props", "k int")["k"].alias("k"))
+    return r.value_counts(parsed, "k")
+
+
+@query("SELECT s_suppkey, s_acctbal, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS position FROM supplier) WHERE position BETWEEN 11 AND 30")
+def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart.page(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), [F.col("s_acctbal").desc(), F.col("s_suppkey")], 10, 20)
+
+
+@query("SELECT p_partkey, p_brand, p_retailprice FROM part JOIN (SELECT p_brand AS b, quantile_cont(p_retailprice, 0.97) AS edge FROM part GROUP BY 1) ON p_brand = b WHERE p_retailprice > edge")
+def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.review_candidates(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", 0.97)
+
+
+@query("""SELECT 'signup' AS "column", count(*) FILTER (event_type = 'signup') AS observed, count(*) AS rows, round(CAST(count(*) FILTER (event_type = 'signup') AS DOUBLE) / count(*), 6) AS coverage, 'clarify' AS gate FROM events UNION ALL SELECT 'value', count(value), count(*), 1.0, 'answer' FROM events""")
+def density_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("value", "user_id", F.when(F.col("event_type") == "signup", F.col("value")).alias("signup"))
+    return quality.density_gate(r.coverage(events, ["signup", "value", "user_id"]), ["signup", "value"])
+
+
+@query("SELECT user_id, event_id, event_type FROM events e WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events f WHERE f.user_id = e.user_id)")
+def latest_snapshot_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.at_latest(table(spark, sf_dir, "events").withColumn("date", day("ts")), "date", "user_id").select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS parts, o_totalprice AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, o_totalprice HAVING abs(sum(CAST(l_extendedprice AS DECIMAL(18,2))) - o_totalprice) > 0.9 * greatest(1, abs(o_totalprice))""")
+def evidence_parts_and_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", money("l_extendedprice").alias("amount"))
+    totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("amount"))
+    off = evidence.parts_off_total(lines, totals, ["l_orderkey"], "amount", 0.9)
+    return off.where("parts is not null and total is not null").withColumn("parts", F.col("parts").cast("double"))
+
+
+@query("SELECT s_nationkey, s_suppkey, s_acctbal, CAST(lead(s_suppkey) OVER w AS BIGINT) AS following, round(s_acctbal - lag(s_acctbal) OVER w, 2) AS step FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)")
+def lead_and_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.lead("s_suppkey").over(w).alias("following"), F.round(F.col("s_acctbal") - F.lag("s_acctbal").over(w), 2).alias("step"))
