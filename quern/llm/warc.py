@@ -159,7 +159,9 @@ def normalise(decisions: DataFrame, source: str, path: str) -> DataFrame:
             out.write("".join(json.dumps(x) + "\n" for x in index).encode())
         return pd.DataFrame({"archive": [f"{name}.warc.gz"], "sidecar": [f"{name}.index.jsonl"], "records": [len(index)]})
 
-    whole = decisions.withColumn("refers_to", F.col("refers_to").cast("string"))
+    # The rows are few and small but each stands for a payload, so they must not be put together in few tasks.
+    files = decisions.select("file").distinct().count()
+    whole = decisions.withColumn("refers_to", F.col("refers_to").cast("string")).repartition(max(1, 2 * files), "file")
     return written(whole.groupBy("file").applyInPandas(run, "archive string, sidecar string, records long"), "warc-archives")
 
 
