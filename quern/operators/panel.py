@@ -61,9 +61,9 @@ def transition_metrics(df: DataFrame, keys: list[str], date: str = "date") -> Da
 
 def gaps(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
     """(keys, date, kind) of every day of the whole panel that a listing lacks: internal or edge."""
-    whole = df.agg(F.min(date).alias("first"), F.max(date).alias("last"))
+    first, last = (F.lit(x).cast("date") for x in df.agg(F.min(date), F.max(date)).first())
     seen = df.groupBy(*keys).agg(F.min(date).alias("low"), F.max(date).alias("high"), F.collect_set(date).alias("days"))
-    missing = seen.join(F.broadcast(whole)).select(*keys, "low", "high", F.explode(F.array_except(F.sequence("first", "last"), "days")).alias(date))
+    missing = seen.select(*keys, "low", "high", F.explode(F.array_except(F.sequence(first, last), "days")).alias(date))
     return missing.select(*keys, date, F.when(F.col(date).between(F.col("low"), F.col("high")), "internal").otherwise("edge").alias("kind"))
 
 

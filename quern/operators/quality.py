@@ -73,8 +73,10 @@ def degenerate(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def capped(df: DataFrame, column: str, *group: str, least: float = 0.2) -> DataFrame:
     """Share of rows at the greatest value, and whether it is so large that the variable looks capped."""
-    top = df.groupBy(*group).agg(F.max(column).alias("top"))
-    at = df.join(top, list(group)) if group else df.join(F.broadcast(top))
+    if group:
+        at = df.join(df.groupBy(*group).agg(F.max(column).alias("top")), list(group))
+    else:
+        at = df.withColumn("top", F.lit(df.agg(F.max(column)).first()[0]))
     out = at.groupBy(*group).agg(F.avg((F.col(column) == F.col("top")).cast("double")).alias("share"))
     return out.select(*group, F.round("share", 6).alias("share"), (F.col("share") >= least).alias("capped"))
 

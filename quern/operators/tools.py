@@ -97,10 +97,10 @@ def resolve_entities(mentions: DataFrame, names: DataFrame, key: str, accept: fl
 
 def token_frequency(df: DataFrame, key: str, tokens: Column, rare: float = 0.05) -> DataFrame:
     """(token, documents, share, rare) over all rows."""
-    total = df.agg(F.count_distinct(key).alias("__all"))
+    total = df.agg(F.count_distinct(key)).first()[0]
     found = df.select(key, F.explode(tokens).alias("token")).groupBy("token").agg(F.count_distinct(key).alias("documents"))
-    out = found.join(F.broadcast(total)).withColumn("share", F.round(F.col("documents") / F.col("__all"), 6))
-    return out.withColumn("rare", F.col("share") <= rare).drop("__all")
+    out = found.withColumn("share", F.round(F.col("documents") / F.lit(total), 6))
+    return out.withColumn("rare", F.col("share") <= rare)
 
 
 def review_candidates(df: DataFrame, group: list[str], value: str, p: float = 0.999, nines: int = 7) -> DataFrame:
