@@ -216,7 +216,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", i
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs with one row kept of each component: that of the smallest id, nulls last."""
-    groups = written(near_duplicates(docs, radius, text, id_col), "components")
+    return one_of_each(docs, written(near_duplicates(docs, radius, text, id_col), "components"), text, id_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs with one row kept of each root in groups (doc_id, text_hash, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("text_hash").alias("h"))
     keep = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.n").alias("kn"), F.col("k.i").alias("ki"), F.col("k.h").alias("kh"))
     key = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(text)]

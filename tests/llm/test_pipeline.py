@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from quern.llm import simhash
+from quern.llm import simhash, similarity
 from quern.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -37,6 +37,44 @@ def test_stages_drop_what_they_should_and_nothing_else(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == at
 
 
+def test_near_dedup_drops_edited_copies(spark):
+    rng = random.Random(7)
+    texts = {k: [f"t{rng.randrange(5000)}" for _ in range(200)] for k in range(60)}
+    for k in range(40):
+        # Each changed word breaks five shingles: 2 leave a similarity of some 0.9, 9 one below 0.8.
+        copy = list(texts[k])
+        for at in range(10, 10 + 20 * (2 if k < 20 else 9), 20):
+            copy[at] = "edited"
+        texts[1000 + k] = copy
+    for k in range(150):
+        texts[2000 + k] = [*texts[59][:60], f"own{k}", *texts[59][60:]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()] + [(3000, None), (3001, " "), (3002, "One two"), (3003, "one  TWO")], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {*range(60), *range(1020, 1040), 3000, 3002}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_dedup_links_what_all_pairs_link(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r["doc_id"]: similarity.shingles((r["text"] or "").encode()) for r in docs.collect()}
+    ids, root, near = sorted(rows), {k: k for k in rows}, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            x, y = rows[a], rows[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and similarity.similarity(x, y) >= 0.8:
+                near += len(x) != len(y) or (x != y).any()
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert near >= 10
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {k for k in ids if find(k) == k}
+
+
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and not ORACLE_SQL
