@@ -2,7 +2,9 @@
 
 A text is cut into sentences at line ends and after `.`, `!`, `?`, `;` or `:` before white space. Each is
 lower-cased and every run of other than letters and digits becomes one space; the result is looked up in
-a table of licence sentences. A licence is then recognised where the identifiers of a rule follow one
+a table of licence sentences. Notices in files are wrapped, so runs of consecutive lines are looked up as
+well, joined up to the longest known sentence; a run ends at a sentence's end and at a blank line, and
+comment marks at the start of a line are skipped. A licence is then recognised where the identifiers of a rule follow one
 another in the text with at most `GAP` other sentences between two of them. Rules are tried in order, the
 longest and most particular first, and a sentence serves one rule only.
 
@@ -14,6 +16,7 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,9 @@ from quern.llm.common import map_batches
 GAP = 2
 BREAK = re.compile(r"(?<=[.!?;:])\s+|\n+|\r+")
 OTHER = re.compile(r"[\W_]+")
+#: Comment marks that are words, at the start of a line; other marks are no letters and vanish in the normal form.
+MARK = re.compile(r"[ \t]*(?:rem|dnl|c)[ \t]+", re.I)
+LINE_END = re.compile(r"\r\n|\n|\r")
 #: The sentences of common licence texts, by identifier.
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -104,6 +110,7 @@ def sentence_table() -> dict[str, str]:
 
 
 TABLE = sentence_table()
+ORDERED = sorted(TABLE)
 
 
 def triggers(sentences: list[str]) -> list[str]:
@@ -133,24 +140,66 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out if a < z]
 
 
+def starts_one(words: str) -> bool:
+    """Whether a known sentence goes on after these words."""
+    at = bisect_left(ORDERED, words + " ")
+    return at < len(ORDERED) and ORDERED[at].startswith(words + " ")
+
+
+def known_in(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """(first span, last span, identifier) of each known sentence, and the number of each span's sentence over all its lines."""
+    words, numbers, number, closed = [], [], 0, True
+    for k, (a, z) in enumerate(spans):
+        gap = text[spans[k - 1][1] if k else 0 : a]
+        ends = len(LINE_END.findall(gap))
+        if (ends or not k) and (mark := MARK.match(text, a, z)):
+            a = mark.end()
+        words.append(normal(text[a:z]))
+        if ends > 1 or closed or (not words[k] and ends and (k + 1 == len(spans) or LINE_END.search(text, z, spans[k + 1][0]))):
+            number += 1
+        numbers.append(number)
+        # A mark such as `;` cut off at the start of a line ends no sentence.
+        closed = text[z - 1] in ".!?;:" if words[k] else bool(LINE_END.search(text, z, spans[k + 1][0] if k + 1 < len(spans) else len(text)))
+    found, k = [], 0
+    while k < len(spans):
+        last, joined, at = None, words[k], k
+        while joined:
+            if joined in TABLE:
+                last = (k, at, TABLE[joined])
+            if not starts_one(joined):
+                break
+            at += 1
+            while at < len(spans) and numbers[at] == numbers[k] and not words[at]:
+                at += 1
+            if at == len(spans) or numbers[at] != numbers[k]:
+                break
+            joined += " " + words[at]
+        if not last and (n := normal(text[slice(*spans[k])])) in TABLE:
+            last = (k, k, TABLE[n])
+        if last:
+            found.append(last)
+        k = last[1] + 1 if last else k + 1
+    return found, numbers
+
+
 def recognised(text: str) -> list[tuple[str, str, int, int, int]]:
     """(licence, rule, sentence number of the first, start, length) of each licence that text states."""
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
         return []
     spans = sentences(text)
-    known = [(k, TABLE[n]) for k, (a, z) in enumerate(spans) if (n := normal(text[a:z])) in TABLE]
+    known, numbers = known_in(text, spans)
     used: set[int] = set()
     found = []
     for ids, licence in RULES:
         for first in range(len(known) - len(ids) + 1):
             run = known[first : first + len(ids)]
-            if tuple(i for _, i in run) != ids or any(k in used for k, _ in run):
+            if tuple(i for *_, i in run) != ids or any(k in used for k, *_ in run):
                 continue
-            if all(b[0] - a[0] <= GAP + 1 for a, b in zip(run, run[1:], strict=False)):
-                used.update(k for k, _ in run)
+            if all(numbers[b[0]] - numbers[a[1]] <= GAP + 1 for a, b in zip(run, run[1:], strict=False)):
+                used.update(k for k, *_ in run)
                 start = spans[run[0][0]][0]
-                found.append((licence, "+".join(ids), run[0][0], start, spans[run[-1][0]][1] - start))
+                found.append((licence, "+".join(ids), run[0][0], start, spans[run[-1][1]][1] - start))
     return sorted(found, key=lambda x: x[2])
 
 

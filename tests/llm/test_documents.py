@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -334,5 +335,25 @@ def test_licences_by_sentences_in_order(spark, none):
     assert licences.scanned(none).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "; ", "-- ", "REM ", "dnl ", "C "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licences_in_wrapped_notices(mark, end):
+    notices = {
+        "MIT": ("mit-grant", "mit-notice", "mit-as-is", "mit-liability"),
+        "BSD-3-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"),
+        "ISC": ("isc-grant",),
+        "GPL-3.0": ("gpl-free", "gpl3-terms", "gpl-hope"),
+    }
+    for licence, ids in notices.items():
+        text = "Copyright (c) 2020 Some One" + "\n\n" + "\n\n".join(textwrap.fill(licences.SENTENCES[k], 72) for k in ids) + "\n\ncode follows"
+        wrapped = end.join(mark + line for line in text.split("\n"))
+        found = licences.recognised(wrapped)
+        assert [f[0] for f in found] == [licence], (licence, wrapped)
+        _, _, _, start, length = found[0]
+        part = licences.normal(wrapped[start : start + length])
+        assert part.endswith(" ".join(licences.normal(licences.BREAK.split(licences.SENTENCES[ids[-1]])[0]).split()[-1:]))
+    assert licences.recognised("All rights\n\nreserved.") == [] and licences.recognised("All rights. Reserved.") == []
+
+
 def test_triggers_lose_no_sentence():
     assert all(any(t in s.split() for t in licences.TRIGGERS) for s in licences.TABLE)
