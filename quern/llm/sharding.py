@@ -5,7 +5,8 @@ it: the bytes of the blocks before, and of the rows before in the block. From th
 the new capacities a flow is solved in which bytes that stay cost nothing and bytes that move cost one
 each. An old shard's bytes are then handed out in order, first to itself and then to the shards that its
 flow goes to, so only the blocks that lie on a border are cut, between two documents. The files of the
-shards that change are then rewritten; those of other shards stay as they are.
+shards that change are then rewritten; those of other shards stay as they are. A table without old files
+has the files of all shards written.
 
 All that depends on the number of documents runs on Spark: sizes and places are sums over blocks, and no
 window is larger than a block. The driver sees one number per old and new shard.
@@ -103,9 +104,11 @@ def in_blocks(docs: DataFrame, old: Column, blocks: int, id_col: str = "doc_id",
     return docs.withColumns({"old_shard": old.cast("int"), "block": F.pmod(F.xxhash64(F.lit(1), F.col(id_col), row_crc(text)), F.lit(blocks)).cast("int")})
 
 
-def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str, old_count: int, id_col: str = "doc_id", text: str = "text") -> tuple[list[int], dict[tuple[int, int], int]]:
+def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str, old_count: int, id_col: str = "doc_id", text: str = "text", stored: bool = True) -> tuple[list[int], dict[tuple[int, int], int]]:
     """Write the files of every shard that changes under path (shard=N); the shards changed and the flow in bytes.
 
+    stored: whether the old shards have files; without, those of unchanged shards are written as well.
+
     old is an integer column from 0 to old_count - 1, and new shard k is old shard k for every k that
     both have. capacities: a list of bytes, or a number of shards that are to be of even size.
     """
@@ -133,7 +136,9 @@ def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str
     # One share per pair of old and new shard, as many as the shards allow; a document goes where its middle lies.
     middle = F.col("before") + F.col("at") + F.floor(F.col("size") / 2)
     placed = placed.join(F.broadcast(shares), (F.col("old_shard") == F.col("share_of")) & (middle >= F.col("low")) & (middle < F.col("high")))
-    placed.where(F.col("shard").isin(changed)).select("doc.*", "old_shard", "block", "shard").write.partitionBy("shard").parquet(path)
+    if stored:
+        placed = placed.where(F.col("shard").isin(changed))
+    placed.select("doc.*", "old_shard", "block", "shard").write.partitionBy("shard").parquet(path)
     return changed, flow
 
 
@@ -154,7 +159,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, old_count: int = OLD_SHARDS)
     """docs resharded from old_count shards by hash to even ones by bytes, from the files written."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "shards")
     columns = docs.select("doc_id", "text")
-    reshard(columns, F.pmod(F.xxhash64("doc_id"), F.lit(old_count)), shards, path, old_count)
+    reshard(columns, F.pmod(F.xxhash64("doc_id"), F.lit(old_count)), shards, path, old_count, stored=False)
     schema = columns.withColumns({"old_shard": F.lit(0), "block": F.lit(0), "shard": F.lit(0)}).schema
     out = slots(spark, path, schema)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -293,6 +293,13 @@ def test_shards_are_even_and_gapless(spark, odd, none):
     assert sharding.sharded(none).count() == 0
 
 
+@pytest.mark.parametrize("text", [None, "", "same"])
+def test_shards_of_equal_rows_lose_none(spark, text):
+    rows = sharding.sharded(docs_of(spark, [(k, text) for k in range(24)])).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(24))
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(k, 0) for k in range(24)]
+
+
 def test_resharding_moves_the_fewest_bytes():
     rng = random.Random(8)
     for _ in range(30):
