@@ -9,7 +9,7 @@ a fixed size and go to the tasks as a broadcast.
 
 Defined results: null and empty html and a page without article text give an empty text; white space
 alone is no block; `<br>` is white space; unclosed and wrongly nested tags close as their parents do; an
-unended comment or script reaches to the end; repeated rows and null ids each give a row; an empty
+unended comment, script or tag reaches to the end; repeated rows and null ids each give a row; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -36,15 +36,20 @@ EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 #: What a start tag closes first, up to the nearest of its containers.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "main", "aside", "nav"}
+#: The attributes of a tag, and its end: `>`, or the page's end, before which a quoted value may be cut off.
+REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+STOP = r"\Z|[\"'][^>]*+\Z"
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|select|button|iframe|svg|object)\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"|<(?P<raw>script|style|noscript|template|title|textarea|select|button|iframe|svg|object)\b{REST}(?:>.*?(?:</(?P=raw)\s*>|\Z)|{STOP})"
+    rf"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>{REST})(?:>|{STOP})|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
 CACHE = 100_000
+#: Pages labelled together: at most so many, and so many places of the grid that pads them to the longest (or one page).
+TOGETHER, PLACES = 64, 1 << 15
 
 
 def number(key: str, size: int) -> int:
@@ -156,8 +161,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (steps, rows, HIDDEN) over x (steps, rows, inputs), and what the backward pass needs."""
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """Hidden states (steps, rows, HIDDEN) over x (steps, rows, inputs), and what the backward pass needs if keep."""
     h = c = np.zeros((x.shape[1], HIDDEN))
     out, kept = np.empty((*x.shape[:2], HIDDEN)), []
     drive = x @ w + b
@@ -169,7 +174,8 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> tuple[np
         c = f * c + i * new
         shown = np.tanh(c)
         out[t] = h = o * shown
-        kept.append((before, c_before, i, f, o, new, shown))
+        if keep:
+            kept.append((before, c_before, i, f, o, new, shown))
     return out, kept
 
 
@@ -207,17 +213,18 @@ def padded(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return step * len(sizes) + page, (np.repeat(sizes, sizes) - 1 - step) * len(sizes) + page
 
 
-def forward(model: Model, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """The logit of every block; x has the rows of the pages one after another."""
+def forward(model: Model, x: np.ndarray, sizes: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+    """The logit of every block, and what training needs if keep; x has the rows of the pages one after another."""
     grid = (int(sizes.max()), len(sizes))
     states, kept, places = [], [], padded(sizes)
     for k, place in zip("fb", places, strict=True):
         flat = np.zeros((grid[0] * grid[1], x.shape[1]))
         flat[place] = x
         run = flat.reshape(*grid, -1)
-        h, cache = lstm(run, model["w" + k], model["u" + k], model["b" + k])
+        h, cache = lstm(run, model["w" + k], model["u" + k], model["b" + k], keep)
         states.append(h.reshape(-1, HIDDEN)[place])
-        kept.append((run, cache))
+        if keep:
+            kept.append((run, cache))
     top = np.concatenate([*states, x], axis=1)
     return top @ model["out"] + model["bias"], (places, kept, top, grid)
 
@@ -265,16 +272,25 @@ def train(pages: list[tuple[str, list[bool]]] | None = None) -> Model:
     return model
 
 
+def together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """First and end of each group of pages that run together, of rising sizes."""
+    first = 0
+    for k in range(1, len(sizes) + 1):
+        if k == len(sizes) or k - first == TOGETHER or (k - first + 1) * sizes[k] > PLACES:
+            yield first, k
+            first = k
+
+
 def labelled(model: Model, pages: list[list[tuple[str, list[int], int]]]) -> list[np.ndarray]:
     """Whether each block of each page is article text; pages of like size run together."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
-    for at in range(0, len(order), 64):
-        some = order[at : at + 64]
+    for first, end in together([len(pages[k]) for k in order]):
+        some = order[first:end]
         parts = [inputs(pages[k]) for k in some]
         x = np.concatenate([summed(model["path"], [p for a in parts for p in a[0]], False), summed(model["word"], [w for a in parts for w in a[1]], True), np.concatenate([a[2] for a in parts])], axis=1)
         sizes = np.array([len(pages[k]) for k in some])
-        marks = forward(model, x, sizes)[0] > 0
+        marks = forward(model, x, sizes, keep=False)[0] > 0
         for k, mark in zip(some, np.split(marks, np.cumsum(sizes)[:-1]), strict=True):
             out[k] = mark
     return out

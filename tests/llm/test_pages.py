@@ -130,6 +130,23 @@ def test_labeller_on_held_out_generated_pages(model):
     assert right.mean() > 0.99
 
 
+@pytest.mark.parametrize("tail", ["<div " + "a" * 60, "<div class=\"cut off", "<script " + "b" * 60, "</div" + "c" * 60, "<!" + "d" * 60, "<a " * 20_000])
+def test_a_page_that_ends_inside_a_tag(tail):
+    assert [b[0] for b in html.blocks("<p>Kept text.</p>" + tail)] == ["Kept text."]
+
+
+def test_a_stray_quote_takes_no_text():
+    assert [b[0] for b in html.blocks("<p>One</p><p class=\"x>Two</p><p>Three</p>")][-1] == "Three"
+
+
+def test_long_pages_run_alone():
+    sizes = [3] * 100 + [900] * 70 + [100_000]
+    groups = list(html.together(sizes))
+    assert [k for a, z in groups for k in range(a, z)] == list(range(len(sizes)))
+    assert all(z - a <= html.TOGETHER and (z - a == 1 or (z - a) * sizes[z - 1] <= html.PLACES) for a, z in groups)
+    assert list(html.together([])) == []
+
+
 def test_lstm_gradients_are_those_of_small_steps():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(5, 3, 4))
