@@ -8,17 +8,28 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of text per Arrow batch; long documents make a batch of the default 10,000 rows too large.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a worker takes at a time. Spark bounds the batches that it sends by
+#: bytes (spark.sql.execution.arrow.maxBytesPerBatch); a worker's own copies are bounded by these.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session takes a new temporary folder; on a cluster it is an error, as
+    each machine would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="quern-")
+        if current.isDefined():
+            base = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="quern-")
+        else:
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -45,23 +56,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers that take whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and, but for a longer single row, about SLICE_BYTES."""
+    rows = min(SLICE_ROWS, max(1, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply fn to every Arrow batch of df."""
+    """Apply fn to every Arrow batch of df, a bounded part at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            yield from map(fn, slices(batch))
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def left_join_by_parts(left: DataFrame, right: DataFrame, keys: list[str], counts: str, rows: int, least: int = 100_000, most: int = 50_000) -> DataFrame:
+    """left joined with right, whose keys are unique and whose column `counts` says how many rows of left have a key.
+
+    Keys of very many rows are joined by broadcast, so that none of them gathers in one task: those above
+    `least` rows and above a `most`-th of all `rows`, of which there can be at most `most`. The rest is shuffled.
+    """
+    edge = max(least, rows // most)
+    hot = right.where(F.col(counts) > edge)
+    common = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(counts) <= edge), keys, "left")
+    return common.unionByName(rest)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

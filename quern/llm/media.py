@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from quern.llm.common import map_batches, new_path, small_batches, utf8
+from quern.llm.common import map_batches, new_path, utf8
 from quern.llm.files import opened
 
 UNIT = 192
 RATE = 8000
 #: Bytes of an archive before the next is begun, of a range that one task reads, and of a batch.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20, 8 << 20
+#: At most about so many ranges; they grow longer beyond it.
+MOST_RANGES = 100_000
 MANIFEST = "manifest.json"
 ATTEMPTS = 3
 
@@ -105,7 +107,19 @@ class ZipMediaReader(DataSourceReader):
         system, base = opened(self.path)
         with system.open_input_stream(f"{base}/{MANIFEST}") as f:
             archives = json.loads(f.read())
-        return [Range(name, low, low + self.span) for name, size in archives for low in range(0, size, self.span)] or [Range("", 0, 0)]
+        span = max(self.span, sum(size for _, size in archives) // MOST_RANGES)
+        return [Range(name, low, low + span) for name, size in archives for low in range(0, size, span)] or [Range("", 0, 0)]
+
+    def directory(self, system: fs.FileSystem, place: str) -> list[zipfile.ZipInfo]:
+        """The members that an archive's directory names; a read that fails is tried again on its own."""
+        for attempt in range(self.retries):
+            try:
+                with system.open_input_file(place) as f, zipfile.ZipFile(f) as archive:
+                    return archive.infolist()
+            except (OSError, zipfile.BadZipFile) as e:
+                error = e
+                time.sleep(0.1 * attempt)
+        raise OSError(f"{place}: {error}")
 
     def member(self, system: fs.FileSystem, place: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """A member's content by the offset of its header, or the last error."""
@@ -138,8 +152,7 @@ class ZipMediaReader(DataSourceReader):
             return
         system, base = opened(self.path)
         place = f"{base}/{partition.archive}"
-        with system.open_input_file(place) as f, zipfile.ZipFile(f) as archive:
-            members = [i for i in archive.infolist() if partition.low <= i.header_offset < partition.high]
+        members = [i for i in self.directory(system, place) if partition.low <= i.header_offset < partition.high]
         rows, size = [], 0
         for info in members:
             content, error = self.member(system, place, info)
@@ -216,7 +229,6 @@ def store(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id"
 def stored(spark: SparkSession, path: str, mode: str = "fail") -> DataFrame:
     """(name, offset, size, content, error) of every member of the archives at path."""
     spark.dataSource.register(ZipMedia)
-    small_batches(spark)
     return spark.read.format("zip_media").option("mode", mode).load(path)
 
 
