@@ -4,7 +4,8 @@ A text is cut into sentences at line ends and after `.`, `!`, `?`, `;` or `:` be
 lower-cased and every run of other than letters and digits becomes one space; the result is looked up in
 a table of licence sentences. Notices in files are wrapped, so runs of consecutive lines are looked up as
 well, joined up to the longest known sentence; a run ends at a sentence's end and at a blank line, and
-comment marks at the start of a line are skipped. A licence is then recognised where the identifiers of a rule follow one
+comment marks at the start of a line are skipped. A long known sentence is also found at the end of one
+that a heading without a mark has run into. A licence is then recognised where the identifiers of a rule follow one
 another in the text with at most `GAP` other sentences between two of them. Rules are tried in order, the
 longest and most particular first, and a sentence serves one rule only.
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import map_batches
 
 GAP = 2
-BREAK = re.compile(r"(?<=[.!?;:])\s+|\n+|\r+")
+#: Where a sentence ends; the abbreviation `v.` before a number ends none.
+BREAK = re.compile(r"(?<=[.!?;:])(?<!\sv\.)\s+|\n+|\r+")
 OTHER = re.compile(r"[\W_]+")
 #: Comment marks that are words, at the start of a line; other marks are no letters and vanish in the normal form.
 MARK = re.compile(r"[ \t]*(?:rem|dnl|c)[ \t]+", re.I)
@@ -45,8 +47,11 @@ SENTENCES = {
     "apache-copy": "You may obtain a copy of the License at",
     "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "gpl-free": "This program is free software:",
+    "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl2-version": "either version 2 of the License, or (at your option) any later version.",
+    "gpl3-version": "either version 3 of the License, or (at your option) any later version.",
     "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     "mpl-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
@@ -69,7 +74,7 @@ NAMES = {
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
 }
 #: Sentences that refer to a licence by name.
-FRAMES = ["Licensed under {}", "Licensed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This work is licensed under a {}", "Released under {}", "Released under the {}", "Distributed under the {}", "Available under the {}", "SPDX-License-Identifier: {}"]
+FRAMES = ["Licensed under {}", "Licensed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This work is licensed under a {}", "Released under {}", "Released under the {}", "Distributed under the {}", "Available under the {}", "SPDX-License-Identifier: {}", "Licensed under {} (the \"License\")", "Licensed under the {} (the \"License\")"]
 #: Ordered rules: identifiers of sentences that follow one another, and the licence that they state.
 RULES: list[tuple[tuple[str, ...], str]] = [
     (("mit-grant", "mit-notice", "mit-as-is", "mit-liability"), "MIT"),
@@ -79,6 +84,10 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("ref:Apache-2.0", "apache-use", "apache-copy", "apache-as-is"), "Apache-2.0"),
     (("ref:Apache-2.0", "apache-use"), "Apache-2.0"),
+    (("gpl-free", "gpl-terms", "gpl3-version", "gpl-hope"), "GPL-3.0"),
+    (("gpl-free", "gpl-terms", "gpl2-version", "gpl-hope"), "GPL-2.0"),
+    (("gpl-free", "gpl-terms", "gpl3-version"), "GPL-3.0"),
+    (("gpl-free", "gpl-terms", "gpl2-version"), "GPL-2.0"),
     (("gpl-free", "gpl3-terms", "gpl-hope"), "GPL-3.0"),
     (("gpl-free", "gpl2-terms", "gpl-hope"), "GPL-2.0"),
     (("gpl-free", "gpl3-terms"), "GPL-3.0"),
@@ -96,11 +105,12 @@ def normal(sentence: str) -> str:
 
 
 def sentence_table() -> dict[str, str]:
-    """Identifier of each known sentence in its normal form; long sentences are cut as texts are."""
+    """Identifier of each known sentence in its normal form."""
     table = {}
     for identifier, text in SENTENCES.items():
-        parts = [normal(p) for p in BREAK.split(text)]
-        table[parts[0]] = identifier
+        parts = [p for p in map(normal, BREAK.split(text)) if p]
+        # A text is cut at the same marks, so a sentence with one inside is known by its parts joined, as lines are.
+        table[" ".join(parts)] = identifier
     for licence, names in NAMES.items():
         for frame in FRAMES:
             for name in names:
@@ -111,6 +121,8 @@ def sentence_table() -> dict[str, str]:
 
 TABLE = sentence_table()
 ORDERED = sorted(TABLE)
+#: The first words of long known sentences: one may begin after a heading that has no mark at its end.
+OPENING = re.compile(" (?=(?:" + "|".join(sorted({re.escape(" ".join(s.split()[:4])) for s in TABLE if len(s.split()) >= 9})) + ") )")
 
 
 def triggers(sentences: list[str]) -> list[str]:
@@ -160,9 +172,10 @@ def known_in(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, i
         numbers.append(number)
         # A mark such as `;` cut off at the start of a line ends no sentence.
         closed = text[z - 1] in ".!?;:" if words[k] else bool(LINE_END.search(text, z, spans[k + 1][0] if k + 1 < len(spans) else len(text)))
-    found, k = [], 0
-    while k < len(spans):
-        last, joined, at = None, words[k], k
+
+    def longest(k: int, joined: str) -> tuple[int, int, str] | None:
+        """The longest known sentence of the words of span k and of the spans that go on with its sentence."""
+        last, at = None, k
         while joined:
             if joined in TABLE:
                 last = (k, at, TABLE[joined])
@@ -174,8 +187,15 @@ def known_in(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, i
             if at == len(spans) or numbers[at] != numbers[k]:
                 break
             joined += " " + words[at]
+        return last
+
+    found, k = [], 0
+    while k < len(spans):
+        last = longest(k, words[k])
         if not last and (n := normal(text[slice(*spans[k])])) in TABLE:
             last = (k, k, TABLE[n])
+        if not last and (m := OPENING.search(words[k])):
+            last = longest(k, words[k][m.end() :])
         if last:
             found.append(last)
         k = last[1] + 1 if last else k + 1
