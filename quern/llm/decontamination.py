@@ -7,33 +7,45 @@ bands of 2 * (e + 1) diagonals, which hold any such window whole; bands that rea
 by a banded alignment that gives the edits and the place. e is `EDITS` of m, at most what leaves the
 bound above zero.
 
-The benchmark is the stated query set: it is read in blocks of at most about `BLOCK_CHARS` characters,
-each broadcast in turn; the documents are scanned where they lie and are not shuffled.
+Shared grams are counted on pairs of a text's and an item's places, at most `PAIRS` of them at a time. A
+text that has more with the whole block is counted item by item, and by looking up for each place of the
+item and each band whether the gram stands in the text there; this takes time by the lengths of the two,
+not by their product, so that text and items of one repeated letter or line stay bounded. No gram and no
+band is left out. An alignment takes time by the square of its item's length.
+
+The benchmark is the stated query set: it is read in blocks of at most about `BLOCK_CHARS` characters (or
+one longer item), each broadcast in turn; the documents are scanned where they lie and are not shuffled.
 
 Defined results: null and empty texts and items match nothing; an item shorter than q characters counts
 only as a whole run of words; repeated rows and null ids give matches of their own; an empty table on
-either side gives no match; extra columns are ignored.
+either side gives no match; letters and digits are those of Unicode, so that symbols such as emoji count
+as a space; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import slices, unused, written
 
 Q, EDITS = 12, 0.06
 BLOCK_CHARS = 2_000_000
 #: Characters of documents that are scanned at a time.
 SCAN_CHARS = 1_000_000
+#: Pairs of places, or of places and bands, that are held at a time.
+PAIRS = 1_000_000
 TABLE_BITS = 22
 BASE = 0x9E3779B97F4A7C15
 EDGE = np.uint32(0x7FFFFFFF)
-PLANE = 1 << 16
+#: No code point from here on is a letter or a digit.
+PLANE = 0x33480
 
 
 def letter_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +63,7 @@ def normal(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         TABLES.extend(letter_tables())
     low = codes < PLANE
     safe = np.where(low, codes, 0)
-    keep = np.where(low, TABLES[0][safe], True)
+    keep = np.where(low, TABLES[0][safe], codes == EDGE)
     at = np.flatnonzero(keep | np.r_[False, keep[:-1]])
     kept = keep[at]
     return np.where(kept, np.where(low[at], TABLES[1][safe[at]], codes[at]), np.uint32(32)).astype(np.uint32), at
@@ -73,19 +85,31 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def align(item: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int, int]:
-    """(edits, start, end) of the cheapest place of item in region among its first `width` diagonals."""
+def align(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the cheapest place of item in each region; a region has as many columns as item and its diagonals together."""
     big, m = np.int64(1) << 32, len(item)
+    width = regions.shape[1] - m
     k = np.arange(width, dtype=np.int64)
-    padded = np.full(m + width, EDGE, np.uint32)
-    padded[: min(len(region), m + width)] = region[: m + width]
-    cost = k.copy()  # edits * big + diagonal of the start
+    cost = np.repeat(k[None], len(regions), axis=0)  # edits * big + diagonal of the start
     for i in range(m):
-        over = cost + (padded[i : i + width] != item[i]) * big
-        over[:-1] = np.minimum(over[:-1], cost[1:] + big)
-        cost = np.minimum.accumulate(over - k * big) + k * big
-    end = int(cost.argmin())
-    return int(cost[end] >> 32), int(cost[end] & 0xFFFFFFFF), min(m + end, len(region))
+        over = cost + (regions[:, i : i + width] != item[i]) * big
+        over[:, :-1] = np.minimum(over[:, :-1], cost[:, 1:] + big)
+        cost = np.minimum.accumulate(over - k * big, axis=1) + k * big
+    end = cost.argmin(axis=1)
+    best = cost[np.arange(len(regions)), end]
+    return best >> 32, best & 0xFFFFFFFF, m + end
+
+
+def apart(places: list[tuple]) -> list[tuple]:
+    """Of overlapping places (edits, first, end, ..) those with the fewest edits."""
+    kept, first, end = [], [], []
+    for place in sorted(places, key=lambda p: (*p[:3], -p[3])):
+        k = bisect_left(first, place[1])
+        if (k == len(first) or place[2] <= first[k]) and (k == 0 or end[k - 1] <= place[1]):
+            kept.append(place)
+            first.insert(k, place[1])
+            end.insert(k, place[2])
+    return kept
 
 
 class Benchmark:
@@ -132,10 +156,29 @@ class Benchmark:
         pos, k = pos[hit], k[hit]
         if not len(pos):
             return found
+        doc = np.searchsorted(low, pos, side="right") - 1
+        firsts = np.flatnonzero(np.r_[True, np.diff(doc) != 0])
+        sums = np.add.reduceat(self.count[k], firsts)
+        best: dict[tuple[int, int], list] = {}
+        at = 0
+        while at < len(firsts):
+            end, pairs = at, 0
+            while end < len(firsts) and (end == at or pairs + sums[end] <= PAIRS):
+                pairs += sums[end]
+                end += 1
+            some = slice(firsts[at], firsts[end] if end < len(firsts) else len(pos))
+            bands = self.bands_of_pairs(doc[some], pos[some], k[some], low) if pairs <= PAIRS else self.bands_by_item(int(doc[some.start]), pos[some], k[some], low)
+            self.verify(bands, codes, low, high, best)
+            at = end
+        for (d, j), places in best.items():
+            found += [(d, self.ids[j], int(where[a] - starts[d]), int(where[z - 1] + 1 - starts[d]), cost, n) for cost, a, z, n in apart(places)]
+        return found
+
+    def bands_of_pairs(self, doc: np.ndarray, pos: np.ndarray, k: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, band, place of a hit's diagonal, shared grams) of each band that reaches its bound, from all pairs of places."""
         times = self.count[k]
         flat = np.repeat(self.first[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, at, pos = self.item[flat], self.at[flat], np.repeat(pos, times)
-        doc = np.searchsorted(low, pos, side="right") - 1
+        item, at, pos, doc = self.item[flat], self.at[flat], np.repeat(pos, times), np.repeat(doc, times)
         # Diagonals are counted from the text's first place, shifted so as not to be negative.
         step = self.edits[item] + 1
         band = (pos - low[doc] - at + self.m[item]) // step
@@ -148,29 +191,87 @@ class Benchmark:
         first = np.flatnonzero(group)
         last = np.r_[first[1:], len(group)]
         shared = np.add.reduceat(fresh.astype(np.int64), first)
-        best: dict[tuple[int, int], list] = {}
         for i in np.flatnonzero(shared >= self.bound[item[first]]):
-            d, j, b = int(doc[first[i]]), int(item[first[i]]), int(band[first[i]])
-            e, m = int(self.edits[j]), int(self.m[j])
             middle = (first[i] + last[i]) // 2
-            a = int(pos[middle] - at[middle])
-            if low[d] <= a and a + m <= high[d] and np.array_equal(codes[a : a + m], self.codes[j]):
-                best.setdefault((d, j), []).append((0, a, a + m, int(shared[i])))
+            yield int(doc[first[i]]), int(item[first[i]]), int(band[first[i]]), int(pos[middle] - at[middle]), int(shared[i])
+
+    def bands_by_item(self, d: int, pos: np.ndarray, k: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The same for one text, an item at a time: each place of the item is looked up in the bands of the text."""
+        order = np.lexsort((pos, k))
+        own, place = np.unique(k[order], return_inverse=True)
+        pos = pos[order] - low[d]
+        wide = int(pos.max()) + int(self.m.max()) + 2 * int(self.edits.max()) + 4
+        keys = place * wide + pos  # sorted: by gram, then by place in the text
+        sizes = self.count[own]
+        flat = np.repeat(self.first[own], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        gram = np.repeat(np.arange(len(own)), sizes)
+        by_item = np.argsort(self.item[flat], kind="stable")
+        item, at, gram = self.item[flat][by_item], self.at[flat][by_item], gram[by_item]
+        edges = np.flatnonzero(np.r_[True, np.diff(item) != 0, True])
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            j = int(item[a])
+            if z - a < self.bound[j]:  # no band can hold more grams than the whole text
                 continue
-            base = b * (e + 1) - m  # the band's first diagonal
-            lo, width = int(low[d]) + base - e, 3 * (e + 1) + e
-            # Before the text's first place there is nothing that an item's character could equal.
-            region = np.r_[np.full(max(0, int(low[d]) - lo), EDGE), codes[max(lo, int(low[d])) : min(int(high[d]), lo + m + width)]]
-            cost, a, z = align(self.codes[j], region, width)
-            if cost <= e:
-                best.setdefault((d, j), []).append((cost, max(lo + a, int(low[d])), lo + z, int(shared[i])))
-        for (d, j), places in best.items():
-            kept: list[tuple] = []
-            for place in sorted(places):  # of overlapping places the one with the fewest edits
-                if all(place[2] <= p[1] or place[1] >= p[2] for p in kept):
-                    kept.append(place)
-            found += [(d, self.ids[j], int(where[a] - starts[d]), int(where[z - 1] + 1 - starts[d]), cost, n) for cost, a, z, n in kept]
-        return found
+            step, m = int(self.edits[j]) + 1, int(self.m[j])
+            ats, bases = at[a:z], gram[a:z] * wide
+            last_band = (int(pos.max()) + m) // step
+            many = max(1, PAIRS // (z - a))
+            for b in range(-1, last_band + 1, many):
+                band = np.arange(b, min(b + many, last_band + 1))
+                start = np.maximum(ats[:, None] + band * step - m, 0)
+                end = ats[:, None] + (band + 2) * step - m
+                hit = np.minimum(np.searchsorted(keys, bases[:, None] + start), len(keys) - 1)
+                there = (keys[hit] >= bases[:, None] + start) & (keys[hit] < bases[:, None] + end)
+                shared = there.sum(axis=0)
+                for c in np.flatnonzero(shared >= self.bound[j]):
+                    rows = np.flatnonzero(there[:, c])
+                    row = rows[len(rows) // 2]
+                    yield d, j, int(band[c]), int(low[d] + keys[hit[row, c]] - bases[row] - ats[row]), int(shared[c])
+
+    def verify(self, bands: Iterator[tuple[int, int, int, int, int]], codes: np.ndarray, low: np.ndarray, high: np.ndarray, best: dict) -> None:
+        """Add to best, by text and item, the (edits, first, end, shared) of the places that the bands hold."""
+        left = []
+        for d, j, b, a, shared in bands:
+            m = int(self.m[j])
+            a = max(int(low[d]), min(a, int(high[d]) - m))  # as near to the hit as the text allows
+            if a + m <= high[d] and np.array_equal(codes[a : a + m], self.codes[j]):
+                best.setdefault((d, j), []).append((0, a, a + m, shared))
+            else:
+                left.append((d, j, b, shared))
+        done = {key: sorted((p[1], p[2], p[0]) for p in apart(places)) for key, places in best.items()}
+        left.sort()
+        for (d, j), group in groupby(left, key=lambda t: t[:2]):
+            e, m = int(self.edits[j]), int(self.m[j])
+            start, stop, width = int(low[d]), int(high[d]), 3 * (e + 1) + e
+            # The fewest edits that the shared grams allow come first: what has more is then not looked at beside them.
+            bands = sorted((-(-(m - Q + 1 - shared) // Q), start + b * (e + 1) - m - e, shared) for _, _, b, shared in group)
+            bands = [t for t in bands if min(stop, t[1] + m + width) - max(start, t[1]) >= m - e]  # else the text ends before the item could
+            near, at, many = done.get((d, j), []), 0, 1
+            while at < len(bands):
+                some = [t for t in bands[at : at + many] if not self.beside(near, t, e, m, width)]
+                at, many = at + many, min(2 * many, max(1, PAIRS // (m + width)), 256)
+                if not some:
+                    continue
+                # Outside the text there is nothing that an item's character could equal.
+                regions = np.full((len(some), m + width), EDGE, np.uint32)
+                for row, (_, lo, _) in zip(regions, some, strict=True):
+                    row[max(0, start - lo) : max(0, min(stop - lo, m + width))] = codes[max(lo, start) : max(start, min(stop, lo + m + width))]
+                for cost, a, z, (_, lo, shared) in zip(*(x.tolist() for x in align(self.codes[j], regions)), some, strict=True):
+                    if cost <= e:
+                        place = (cost, max(lo + a, start), min(lo + z, stop), shared)
+                        best.setdefault((d, j), []).append(place)
+                        insort(near, (place[1], place[2], cost))
+
+    @staticmethod
+    def beside(near: list[tuple[int, int, int]], band: tuple[int, int, int], e: int, m: int, width: int) -> bool:
+        """Whether each place of the band overlaps one that was found with as few edits as the band can have at least."""
+        least, lo, _ = band
+        k = bisect_left(near, (lo + width - m - e,))
+        while k < len(near) and near[k][0] < lo + m - e:
+            if near[k][1] > lo + width and near[k][2] <= least:
+                return True
+            k += 1
+        return False
 
     def short_matches(self, codes: np.ndarray, where: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray) -> list[tuple]:
         found = []
@@ -185,12 +286,14 @@ class Benchmark:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
-    """The benchmark in blocks of a bounded size."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    """The benchmark in blocks of a bounded size; equal items are dealt like others."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = size // BLOCK_CHARS + 1
+    if count > 1:
+        items = written(items, "benchmark")  # the numbers of the rows have to stay
     for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
+        rows = items.where(F.pmod(F.xxhash64("row"), F.lit(count)) == k).collect()
         yield Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
@@ -208,16 +311,16 @@ def scan(shared, texts: list[str]) -> Iterator[tuple]:
 
 
 def over_blocks(docs: DataFrame, benchmark: DataFrame, made: Callable, columns: list, schema) -> Iterator[DataFrame]:
-    small_batches(docs.sparkSession)
+    scanned = unused(docs, "scanned")
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield from made(batch, list(scan(shared, texts)))
 
-        yield docs.select(*columns, F.col("text").alias("__scanned")).mapInArrow(run, schema)
+        yield docs.select(*columns, F.col("text").alias(scanned)).mapInArrow(run, schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
