@@ -4,8 +4,8 @@ A page is cut into blocks: runs of text between block-level tags. Each block has
 (learned vectors of the tags, classes and ids above it, summed), of its words (learned vectors by hash,
 averaged) and of its length, links and punctuation. A bidirectional LSTM in numpy reads a page's blocks
 in order in both directions, so that each is judged by the context of the whole page, and labels it as
-article text or not. It is trained on the driver from `TRAIN_PAGES` generated pages; its weights are of
-a fixed size and go to the tasks as a broadcast.
+article text or not. It is trained on the driver from `TRAIN_PAGES` generated pages, once in a session;
+its weights are of a fixed size and go to the tasks as a broadcast.
 
 Defined results: null and empty html and a page without article text give an empty text; white space
 alone is no block; `<br>` is white space; unclosed and wrongly nested tags close as their parents do; an
@@ -20,6 +20,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from quern.llm.common import map_batches
 
-TRAIN_PAGES, EPOCHS, GROUP, SPEED, SEED = 1500, 8, 32, 0.008, 11
+TRAIN_PAGES, EPOCHS, GROUP, SPEED, SEED = 1200, 6, 32, 0.008, 11
 PATH_SIZE, WORD_SIZE, WIDTH, HIDDEN, PLAIN = 1 << 11, 1 << 12, 16, 20, 5
 #: Elements whose text never shows or is a control's.
 SKIPPED = {"script", "style", "noscript", "template", "title", "textarea", "select", "button", "iframe", "svg", "object", "head"}
@@ -139,7 +140,7 @@ def blocks(page: str) -> Iterator[tuple[str, list[int], int]]:
         yield found
 
 
-def inputs(found: list[tuple[str, list[int], int]]) -> tuple[list, list, np.ndarray]:
+def inputs(found: list[tuple[str, list[int], int]]) -> tuple[Lists, Lists, np.ndarray]:
     """Path numbers, word numbers and plain features of a page's blocks."""
     plain = np.zeros((len(found), PLAIN))
     words = []
@@ -147,16 +148,34 @@ def inputs(found: list[tuple[str, list[int], int]]) -> tuple[list, list, np.ndar
         w = text.lower().split()
         words.append(list(map(WORDS.__getitem__, w)))
         plain[k] = np.log1p(len(w)) / 5, min(links / len(text), 1.0), text[-1] in ".!?…", k / len(found), "©" in text
-    return [path or [0] for _, path, _ in found], words, plain
+    return flat([path or [0] for _, path, _ in found]), flat(words), plain
 
 
-def summed(table: np.ndarray, lists: list[list[int]], mean: bool) -> np.ndarray:
-    sizes = np.array([len(x) for x in lists])
-    flat = np.fromiter((n for x in lists for n in x), np.int64, sizes.sum())
-    out = np.add.reduceat(table[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def flat(lists: list[list[int]]) -> Lists:
+    """Lists of numbers as all of them one after another and the size of each list."""
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64)
+
+
+def joined(parts: list[Lists]) -> Lists:
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def summed(table: np.ndarray, lists: Lists, mean: bool) -> np.ndarray:
+    numbers, sizes = lists
+    out = np.add.reduceat(table[numbers], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
     return out / sizes[:, None] if mean else out
 
 
+def spread(size: int, lists: Lists, part: np.ndarray, mean: bool) -> np.ndarray:
+    """The gradient of a table of `size` rows from that of its sums or means."""
+    numbers, sizes = lists
+    rows = np.repeat(part / sizes[:, None] if mean else part, sizes, axis=0)
+    return np.stack([np.bincount(numbers, rows[:, k], size) for k in range(rows.shape[1])], axis=1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -243,7 +262,7 @@ def train(pages: list[tuple[str, list[bool]]] | None = None) -> Model:
         order = np.argsort(lengths + rng.uniform(0, 4, len(data)))
         for at in GROUP * rng.permutation(-(-len(order) // GROUP)):
             group = [data[k] for k in order[at : at + GROUP]]
-            paths, words = [p for d in group for p in d[0]], [w for d in group for w in d[1]]
+            paths, words = joined([d[0] for d in group]), joined([d[1] for d in group])
             plain, y = np.concatenate([d[2] for d in group]), np.concatenate([d[3] for d in group])
             # Half of the blocks are shown without their words and marks, so that the path has to tell.
             shown = rng.random(len(y)) < 0.5
@@ -260,10 +279,8 @@ def train(pages: list[tuple[str, list[bool]]] | None = None) -> Model:
                 run, cache = kept[n]
                 back, grads["w" + k], grads["u" + k], grads["b" + k] = lstm_back(run, flat.reshape(*grid, -1), cache, model["w" + k], model["u" + k])
                 dx += back.reshape(-1, x.shape[1])[place]
-            for name, lists, part, mean in (("path", paths, dx[:, :WIDTH], False), ("word", words, dx[:, WIDTH : 2 * WIDTH] * shown[:, None], True)):
-                sizes_of = np.array([len(v) for v in lists])
-                grads[name] = np.zeros_like(model[name])
-                np.add.at(grads[name], np.concatenate(lists), np.repeat(part / sizes_of[:, None] if mean else part, sizes_of, axis=0))
+            grads["path"] = spread(PATH_SIZE, paths, dx[:, :WIDTH], False)
+            grads["word"] = spread(WORD_SIZE, words, dx[:, WIDTH : 2 * WIDTH] * shown[:, None], True)
             step += 1
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -288,7 +305,7 @@ def labelled(model: Model, pages: list[list[tuple[str, list[int], int]]]) -> lis
     for first, end in together([len(pages[k]) for k in order]):
         some = order[first:end]
         parts = [inputs(pages[k]) for k in some]
-        x = np.concatenate([summed(model["path"], [p for a in parts for p in a[0]], False), summed(model["word"], [w for a in parts for w in a[1]], True), np.concatenate([a[2] for a in parts])], axis=1)
+        x = np.concatenate([summed(model["path"], joined([a[0] for a in parts]), False), summed(model["word"], joined([a[1] for a in parts]), True), np.concatenate([a[2] for a in parts])], axis=1)
         sizes = np.array([len(pages[k]) for k in some])
         marks = forward(model, x, sizes, keep=False)[0] > 0
         for k, mark in zip(some, np.split(marks, np.cumsum(sizes)[:-1]), strict=True):
@@ -296,9 +313,15 @@ def labelled(model: Model, pages: list[list[tuple[str, list[int], int]]]) -> lis
     return out
 
 
+@cache
+def own_model() -> Model:
+    """The labeller of the generated pages; it is the same whenever it is fitted, so a session fits it once."""
+    return train()
+
+
 def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
-    shared = pages.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in (model or train()).items()})
+    shared = pages.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in (model or own_model()).items()})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
