@@ -26,25 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_path, small_batches, utf8, written
+from quern.llm.common import left_join_by_parts, new_path, slices, utf8, written
 from quern.llm.files import opened
 
 LEAST = 1000
-#: Payload bytes in a file before the next is begun.
+#: Bytes of records in a file before the next is begun.
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = 31  # zlib's window bits for a gzip member
-ID = "<urn:quern:page:{}>"
+ID = "<urn:quern:page:{}:{}:{}>"  # page_id, the file it was first written to, its number there
 
 
-def record(kind: str, page_id: int | None, url: str | None, digest: str, http: bytes, payload: bytes, refers_to: int | None = None) -> bytes:
-    """One WARC record; its block is the HTTP head and the payload."""
+def record(kind: str, urn: str, url: str | None, digest: str, http: bytes, payload: bytes, refers_to: str | None = None) -> bytes:
+    """One WARC record; its block is the HTTP head and the payload. urn, refers_to: record ids."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ID.format(page_id)}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {urn}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {ID.format(refers_to)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}", "", ""]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + http + payload + b"\r\n\r\n"
 
@@ -68,7 +68,7 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def page_of(urn: str | None) -> int | None:
-    value = urn.rpartition(":")[2].rstrip(">") if urn else "None"
+    value = urn.split(":")[3] if urn else "None"
     return None if value == "None" else int(value)
 
 
@@ -103,7 +103,7 @@ def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
         system, base = opened(path)
         system.create_dir(base, recursive=True)
         out, name, number, size = None, "", 0, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for page, url, payload in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), utf8(batch.column("html")), strict=True):
                 if out is not None and size >= FILE_BYTES:
@@ -114,9 +114,10 @@ def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
                     name, number, size, zipper = f"{uuid.uuid4().hex}.warc.gz", 0, 0, zlib.compressobj(1, zlib.DEFLATED, GZIP)
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
                 digest = hashlib.sha1(payload).hexdigest()
-                out.write(zipper.compress(record("response", page, url, digest, http_head(len(payload)), payload)))
+                raw = record("response", ID.format(page, name.partition(".")[0], number), url, digest, http_head(len(payload)), payload)
+                out.write(zipper.compress(raw))
                 rows.append((name, number, page, digest, len(payload)))
-                number, size = number + 1, size + len(payload)
+                number, size = number + 1, size + len(raw)
             if rows:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "number", "page_id", "digest", "size"])
@@ -124,16 +125,17 @@ def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
             out.write(zipper.flush())
             out.close()
 
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string, number long, page_id long, digest string, size long")
     return written(rows, "warc-records")
 
 
 def decided(records: DataFrame, least: int = LEAST) -> DataFrame:
-    """(file, number, refers_to): the response that a record repeats, null for a response."""
-    first = records.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    both = records.join(first.select("digest", "size", "first"), ["digest", "size"], "left")
-    return both.select("file", "number", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    """(file, number, refers_to): the id of the record that a record repeats, null for a response."""
+    best = F.max(F.struct(F.col("page_id"), F.col("file"), F.col("number"))).alias("first")
+    repeated = records.where(F.col("size") >= least).groupBy("digest", "size").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    both = left_join_by_parts(records, repeated, ["digest", "size"], "n", records.count())
+    urn = F.format_string(ID.replace("{}", "%s"), F.col("first.page_id"), F.substring_index("first.file", ".", 1), F.col("first.number"))
+    return both.select("file", "number", F.when(F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), urn).alias("refers_to"))
 
 
 def normalise(decisions: DataFrame, source: str, path: str) -> DataFrame:
@@ -149,7 +151,7 @@ def normalise(decisions: DataFrame, source: str, path: str) -> DataFrame:
             for raw, refers_to in zip(inflated(stream), pdf["refers_to"].tolist(), strict=True):
                 if refers_to is not None and not pd.isna(refers_to):
                     head, http, _ = parsed(raw)
-                    raw = record("revisit", page_of(head["warc-record-id"]), head["warc-target-uri"], head["warc-payload-digest"].removeprefix("sha1:"), http, b"", int(refers_to))
+                    raw = record("revisit", head["warc-record-id"], head["warc-target-uri"], head["warc-payload-digest"].removeprefix("sha1:"), http, b"", refers_to)
                 zipper = zlib.compressobj(3, zlib.DEFLATED, GZIP)
                 member = zipper.compress(raw) + zipper.flush()
                 out.write(member)
@@ -161,7 +163,7 @@ def normalise(decisions: DataFrame, source: str, path: str) -> DataFrame:
 
     # The rows are few and small but each stands for a payload, so they must not be put together in few tasks.
     files = decisions.select("file").distinct().count()
-    whole = decisions.withColumn("refers_to", F.col("refers_to").cast("string")).repartition(max(1, 2 * files), "file")
+    whole = decisions.repartition(max(1, 2 * files), "file")
     return written(whole.groupBy("file").applyInPandas(run, "archive string, sidecar string, records long"), "warc-archives")
 
 
