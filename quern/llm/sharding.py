@@ -1,19 +1,24 @@
 """Resharding by minimum-cost flow: documents move from old shards to new capacities with the fewest bytes moved.
 
-Each old shard is a row of blocks (by a hash of the row), and its documents have a place in bytes within
-it: the bytes of the blocks before, and of the rows before in the block. From the old shards' sizes and
-the new capacities a flow is solved in which bytes that stay cost nothing and bytes that move cost one
-each. An old shard's bytes are then handed out in order, first to itself and then to the shards that its
-flow goes to, so only the blocks that lie on a border are cut, between two documents. The files of the
-shards that change are then rewritten; those of other shards stay as they are. A table without old files
-has the files of all shards written.
-
-All that depends on the number of documents runs on Spark: sizes and places are sums over blocks, and no
-window is larger than a block. The driver sees one number per old and new shard.
+Each old shard is a row of blocks (by a hash of the row and of its number, so that equal rows spread), and
+its documents have a place in bytes within it: the bytes of the blocks before, and of the rows before in
+the block. From the old shards' sizes and the new capacities a flow is solved in which bytes that stay
+cost nothing and bytes that move cost one each. An old shard's bytes are then handed out in order, first
+to itself and then to the shards that its flow goes to, so only the blocks that lie on a border are cut,
+between two documents; every other block goes to a shard as a whole. The files of the shards that change
+are then rewritten, in files of about `FILE_BYTES`; those of other shards stay as they are. A table
+without old files has the files of all shards written.
+
+All that depends on the number of documents runs on Spark: sizes are sums over blocks, only the rows of
+cut blocks meet in windows, and no window is larger than a block. The driver sees one number per old and
+new shard, and what is broadcast has at most `MOST_BLOCKS` rows. Rows are numbered as they are read, so
+docs has to be a table in files, or one that gives the same rows in the same order when it is read again;
+the rows written are counted against those read, and a difference is an error.
 
 Defined results: null and empty texts have the size of the row's overhead alone; repeated rows each have
-a place; an empty table gives no rows and no file; extra columns keep their values in the files, apart
-from those named like the columns added here (old_shard, block, shard), which are replaced.
+a place, and ties between equal rows in a slot's order are broken in any way; an empty table gives no
+rows and no file; extra columns keep their values in the files, apart from those named like the columns
+added here (old_shard, block, shard), which are replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import new_path, written
 
 SHARDS, OLD_SHARDS, OVERHEAD = 24, 16, 8
-#: Rows per block, about; it bounds what a task sorts.
-BLOCK_ROWS = 20_000
+#: Rows per block, about, which bounds what a task sorts; and blocks in all, beyond which they grow.
+BLOCK_ROWS, MOST_BLOCKS = 20_000, 1 << 18
+#: Bytes of texts in a file, about.
+FILE_BYTES = 128 << 20
 
 
 def row_size(text: str = "text") -> Column:
@@ -101,7 +108,8 @@ def borders(flow: dict[tuple[int, int], int], stays: list[int | None]) -> list[t
 
 def in_blocks(docs: DataFrame, old: Column, blocks: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with old_shard and block."""
-    return docs.withColumns({"old_shard": old.cast("int"), "block": F.pmod(F.xxhash64(F.lit(1), F.col(id_col), row_crc(text)), F.lit(blocks)).cast("int")})
+    number = F.xxhash64(F.lit(1), F.col(id_col), row_crc(text), F.monotonically_increasing_id())
+    return docs.withColumns({"old_shard": old.cast("int"), "block": F.pmod(number, F.lit(blocks)).cast("int")})
 
 
 def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str, old_count: int, id_col: str = "doc_id", text: str = "text", stored: bool = True) -> tuple[list[int], dict[tuple[int, int], int]]:
@@ -114,11 +122,11 @@ def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str
     """
     spark = docs.sparkSession
     rows = docs.count()
-    blocks = max(64, rows // BLOCK_ROWS // old_count + 1)
+    blocks = min(max(64, rows // BLOCK_ROWS // old_count + 1), MOST_BLOCKS // old_count)
     blocked = in_blocks(docs, old, blocks, id_col, text)
     sums = blocked.groupBy("old_shard", "block").agg(F.sum(row_size(text)).alias("bytes")).checkpoint()
     before = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("old_shard", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))
+    starts = sums.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     found = {r["old_shard"]: r["n"] for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("n")).collect()}
     supply = [found.get(i, 0) for i in range(old_count)]
     capacity = even(sum(supply), capacities) if isinstance(capacities, int) else capacities
@@ -128,17 +136,27 @@ def reshard(docs: DataFrame, old: Column, capacities: int | list[int], path: str
     flow = cheapest_flow(supply, capacity, stays)
     shares = spark.createDataFrame(borders(flow, stays), "share_of int, low long, high long, shard int")
     changed = sorted({x for i, j in flow if i != j for x in (i, j) if x < len(capacity)} | {j for _, j in flow if j >= old_count})
-    own = Window.partitionBy("old_shard", "block").orderBy(F.col("id").asc_nulls_last(), "crc").rowsBetween(Window.unboundedPreceding, -1)
+    # A block that lies within one share as a whole goes to its shard; of the others the rows are placed one by one.
+    inside = (F.col("old_shard") == F.col("share_of")) & (F.col("before") >= F.col("low")) & (F.col("before") + F.col("bytes") <= F.col("high"))
+    mapped = starts.join(F.broadcast(shares), inside, "left").select("old_shard", "block", "before", "shard").checkpoint()
     kept = [c for c in docs.columns if c not in ("old_shard", "block", "shard")]
     # The row's own columns travel as one, so that none of their names meets one of those added here.
-    placed = blocked.select(F.struct(*kept).alias("doc"), "old_shard", "block", F.col(id_col).alias("id"), row_crc(text).alias("crc"), row_size(text).alias("size"))
-    placed = placed.withColumn("at", F.coalesce(F.sum("size").over(own), F.lit(0))).join(starts, ["old_shard", "block"])
+    carried = blocked.select(F.struct(*kept).alias("doc"), "old_shard", "block", F.col(id_col).alias("id"), row_crc(text).alias("crc"), row_size(text).alias("size"))
+    carried = carried.join(F.broadcast(mapped), ["old_shard", "block"])
+    own = Window.partitionBy("old_shard", "block").orderBy(F.col("id").asc_nulls_last(), "crc").rowsBetween(Window.unboundedPreceding, -1)
+    cut = carried.where("shard is null").drop("shard").withColumn("at", F.coalesce(F.sum("size").over(own), F.lit(0)))
     # One share per pair of old and new shard, as many as the shards allow; a document goes where its middle lies.
     middle = F.col("before") + F.col("at") + F.floor(F.col("size") / 2)
-    placed = placed.join(F.broadcast(shares), (F.col("old_shard") == F.col("share_of")) & (middle >= F.col("low")) & (middle < F.col("high")))
+    cut = cut.join(F.broadcast(shares), (F.col("old_shard") == F.col("share_of")) & (middle >= F.col("low")) & (middle < F.col("high")))
+    placed = carried.where("shard is not null").select("doc", "old_shard", "block", "shard").union(cut.select("doc", "old_shard", "block", "shard"))
     if stored:
         placed = placed.where(F.col("shard").isin(changed))
-    placed.select("doc.*", "old_shard", "block", "shard").write.partitionBy("shard").parquet(path)
+    # At least a few parts of a shard, so that one shard is not one task.
+    parts = max(8, -(-sum(supply) // max(1, len(capacity)) // FILE_BYTES))
+    files = placed.repartition(parts * len(capacity), "shard", F.pmod(F.xxhash64("old_shard", "block"), F.lit(parts)))
+    files.select("doc.*", "old_shard", "block", "shard").write.partitionBy("shard").parquet(path)
+    if not stored and rows and (wrote := spark.read.parquet(path).count()) != rows:
+        raise RuntimeError(f"{wrote} rows written of {rows}: the input was not read twice alike")
     return changed, flow
 
 
