@@ -3,11 +3,12 @@
 Fingerprints are 64 bits over the XXH64 hashes (seed 42) of 3-word shingles, and link at `radius` or
 fewer differing bits. Two such fingerprints agree on one of radius + 1 bands of bits, so a shard is the
 set of fingerprints that agree on a band; each shard has its own BK-tree, whose children are keyed by
-their Hamming distance to the parent, and a search follows only the edges within the radius. The trees
-travel to the tasks that search them through the shuffle, not through the driver, as the fingerprints
-of all documents must not meet there. A shard above `SHARD_LIMIT` is split anew by bands of its
-remaining bits, which loses no pair. A shard gives one link per member to the member's local root, never
-all pairs.
+their Hamming distance to the parent, and a search follows only the edges within the radius. Trees are
+built by tasks, written to the shared folder, and then sent whole to every task that searches a part of
+the shard's fingerprints in it (`PROBES` each). This is the broadcast of a shard tree without the driver,
+as the fingerprints of all documents must not meet there. A shard above `SHARD_LIMIT` is split anew by
+bands of its remaining bits, which loses no pair. A search gives one link per member to the member's
+local root, never all pairs.
 
 Defined results: null and empty texts and texts of white space have the fingerprint zero and link like
 any other; repeated rows each give a row; rows with a null id take part, and component_id is the
@@ -21,16 +22,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, shared_dir, unused, utf8, written
+from quern.llm.common import left_join_by_parts, map_batches, shared_dir, utf8, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 #: Above so many fingerprints a shard is split by bands of the bits that its members need not share.
 SHARD_LIMIT = 8192
 SPLITS = 3
+#: Fingerprints that a task searches in a tree at a time.
+PROBES = 2048
 MASK = (1 << BITS) - 1
 
 
@@ -115,39 +118,83 @@ class BKTree:
         return new
 
 
-def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, root) for each member of one shard that is linked to a smaller position; roots by union-find."""
-    tree, root = BKTree(), []
+    def packed(self) -> bytes:
+        """The tree as bytes: values, then each member's parent and the edge's key, by position."""
+        parent, edge = np.zeros(len(self.values), np.uint32), np.zeros(len(self.values), np.uint8)
+        for at, below in enumerate(self.children):
+            for key, child in below.items():
+                parent[child], edge[child] = at, key
+        return np.array(self.values, np.uint64).tobytes() + parent.tobytes() + edge.tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> BKTree:
+        n = len(data) // 13
+        tree = cls()
+        tree.values = np.frombuffer(data, np.uint64, n).tolist()
+        tree.children = [{} for _ in range(n)]
+        for child, (at, key) in enumerate(zip(np.frombuffer(data, np.uint32, n, 8 * n).tolist(), data[12 * n :], strict=True)):
+            if child:
+                tree.children[at][key] = child
+        return tree
+
+
+def tree_of(values: list[int]) -> BKTree:
+    tree = BKTree()
+    for value in values:
+        tree.add(value)
+    return tree
+
+
+def tree_links(tree: BKTree, probes: range, radius: int) -> list[tuple[int, int]]:
+    """(member, local root) for the members that the probes, positions of members, connect within radius."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
         return x
 
-    for value in values:
-        close = tree.near(value, radius)
-        at = tree.add(value)
-        root.append(at)
-        for other in close:
+    for at in probes:
+        for other in tree.near(tree.values[at], radius):
             a, b = find(other), find(at)
             root[max(a, b)] = min(a, b)
-    return [(values[x], values[r]) for x in range(len(values)) if (r := find(x)) != x]
+    return [(tree.values[x], tree.values[r]) for x in list(root) if (r := find(x)) != x]
 
 
-def shard_links(distinct: DataFrame, radius: int, shards: int, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp that connect all those within radius."""
+def shard_trees(members: DataFrame, shards: int) -> DataFrame:
+    """(tree, n) of each shard of members (path, key, fp) with two fingerprints or more; written."""
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["path", "key", "fp"], kind="stable")
         path, key, fp = (pdf[c].to_numpy() for c in ("path", "key", "fp"))
         edges = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1]), True])
+        spans = [(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi - lo > 1]
+        return pd.DataFrame({"tree": [tree_of([int(v) & MASK for v in fp[lo:hi]]).packed() for lo, hi in spans], "n": [int(hi - lo) for lo, hi in spans]}).astype({"n": "int64"})
+
+    by_shard = members.withColumn("shard", F.pmod(F.xxhash64("path", "key"), F.lit(shards))).groupBy("shard")
+    return written(by_shard.applyInPandas(build, "tree binary, n long"), "trees")
+
+
+def searched(trees: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that the members of each tree have within radius; a tree goes to a task for each part of its members."""
+
+    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int]] = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo > 1:
-                out += tree_links([int(v) & MASK for v in fp[lo:hi]], radius)
+        for data, part in zip(batch.column("tree").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            tree = BKTree.unpacked(data)
+            out += tree_links(tree, range(part * PROBES, min((part + 1) * PROBES, len(tree.values))), radius)
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    parts = trees.select("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PROBES))).alias("part"))
+    large = parts.where(F.length("tree") > 13 * PROBES)
+    # The parts of a large tree are dealt to tasks one by one; small trees stay where they were read.
+    dealt = large.repartition(F.xxhash64("tree"), "part").union(parts.where(F.length("tree") <= 13 * PROBES))
+    return map_batches(dealt, search, "a long, b long")
+
+
+def shard_links(distinct: DataFrame, radius: int, shards: int, limit: int = SHARD_LIMIT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints fp that connect all those within radius."""
 
     def keyed(rows: DataFrame, level: int) -> DataFrame:
         options = [
@@ -161,16 +208,14 @@ def shard_links(distinct: DataFrame, radius: int, shards: int, limit: int = SHAR
 
     rows, found = keyed(distinct.select("fp"), 0), None
     for level in range(SPLITS):
-        cold = rows
+        hot, cold = None, rows
         if level < SPLITS - 1:
             hot = written(rows.groupBy("path", "key").count().where(F.col("count") > limit).select("path", "key"), "hot")
             if hot.isEmpty():
                 hot = None
             else:
                 cold = rows.join(hot, ["path", "key"], "left_anti")
-        else:
-            hot = None
-        links = cold.withColumn("shard", F.pmod(F.xxhash64("path", "key"), F.lit(shards))).groupBy("shard").applyInPandas(search, "a long, b long")
+        links = searched(shard_trees(cold, shards), radius)
         found = links if found is None else found.union(links)
         if hot is None:
             break
@@ -205,13 +250,14 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp, text_hash, component_id, root) of every row; root is a fingerprint of the component."""
     signed = written(fingerprints(docs, text, id_col), "fingerprints")
-    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (radius + 1) * distinct.count() // 20_000 + 1)
+    distinct = signed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).checkpoint()
+    sums = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (radius + 1) * sums[0] // 20_000 + 1)
     found = components(shard_links(distinct, radius, shards))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.join(first, "root").select("fp", "component_id", "root")
-    return signed.join(of_fp, "fp").select("doc_id", "fp", "text_hash", "component_id", "root")
+    of_fp = rooted.join(first, "root").select("fp", "n", "component_id", "root").checkpoint()
+    return left_join_by_parts(signed, of_fp, ["fp"], "n", sums[1]).select("doc_id", "fp", "text_hash", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -221,13 +267,18 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, text: str = "text", id_c
 
 def one_of_each(docs: DataFrame, groups: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs with one row kept of each root in groups (doc_id, text_hash, root)."""
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("text_hash").alias("h"))
-    keep = groups.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.n").alias("kn"), F.col("k.i").alias("ki"), F.col("k.h").alias("kh"))
+    parts = [F.col("doc_id").isNull().alias("kn"), F.coalesce("doc_id", F.lit(0)).alias("ki"), F.col("text_hash").alias("kh")]
+    keep = groups.groupBy("root").agg(F.min(F.struct(*parts)).alias("k")).select("k.*")
     key = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(text)]
-    kept = docs.join(keep, (key[0] == keep["kn"]) & (key[1] == keep["ki"]) & (key[2] == keep["kh"]), "left_semi")
-    repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
-    if repeated.isEmpty() and groups.where(F.col("doc_id").isNull()).isEmpty():
-        return kept
-    one = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(0))
-    place = unused(docs, "place")
-    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
+
+    def kept(of: DataFrame, how: str, rows: DataFrame = docs) -> DataFrame:
+        return rows.join(of, (key[0] == of["kn"]) & (key[1] == of["ki"]) & (key[2] == of["kh"]), how)
+
+    repeated = groups.select(*parts).groupBy("kn", "ki", "kh").count().where("count > 1").select("kn", "ki", "kh")
+    if repeated.isEmpty():
+        return kept(keep, "left_semi")
+    # Of rows with one id and text each task keeps one before they meet.
+    same = kept(keep.join(repeated, ["kn", "ki", "kh"]), "left_semi")
+    one = same.groupBy(*(k.alias(f"k{n}") for n, k in enumerate(key))).agg(F.first(F.struct(*(F.col(c).alias(f"c{n}") for n, c in enumerate(docs.columns)))).alias("row"))
+    back = one.select(*(F.col(f"row.c{n}").alias(c) for n, c in enumerate(docs.columns)))
+    return kept(keep.join(repeated, ["kn", "ki", "kh"], "left_anti"), "left_semi").union(back)
