@@ -4,8 +4,8 @@ The lengths of all pieces give a histogram with at most `CAPACITY` rows, whateve
 configuration linear program (cover every length's count by patterns of lengths that fit a sequence) is
 solved by multiplicative weights: a length's price falls as it is covered ahead of the rest, and an
 unbounded-knapsack dynamic program prices the next pattern. The fractional solution is rounded down to
-whole sequences within the counts, the rest is solved again, and what is left at last is packed best fit
-decreasing. The plan is then small: each piece finds its place from its length and its rank among the
+whole sequences within the counts, and what is left is filled a sequence at a time, around the longest
+piece, by the same program over the pieces that are left, or best fit decreasing where that takes fewer. The plan is then small: each piece finds its place from its length and its rank among the
 pieces of that length, which is counted in chunks and never over one whole group.
 
 Defined results: null and empty texts are the end token alone; repeated rows and null ids give pieces of
@@ -27,17 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches, written
+from quern.llm.common import slices, written
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Rounds of multiplicative weights for each solution of the linear program, its learning rate, the power
 #: of a length that its price starts from, how far long pieces lead, and the share of all ids to cover.
-ROUNDS, RATE, PRICE_POWER, LEAD, COVER = 400, 0.3, 1.05, 0.3, 0.98
-#: So many sequences' worth of pieces or fewer are packed best fit decreasing.
-TAIL = 64
-#: Entries that a worker's memory of token ids holds before it is emptied.
-CACHE = 1_000_000
+ROUNDS, RATE, PRICE_POWER, LEAD, COVER = 300, 0.3, 1.05, 0.3, 0.98
+#: Shares of the program's rounds from which a rounding is tried.
+KEEP = (1.0, 0.8, 0.5, 0.2, 0.02)
+#: Characters and id bytes that a worker's memory of token ids holds before it is emptied.
+CACHE_BYTES = 64 << 20
 #: Pieces per chunk when ranks are counted.
 CHUNK_ROWS = 50_000
 
@@ -68,6 +68,7 @@ class Encoder:
         self.letters, self.space = str.maketrans({chr(b): x for b, x in enumerate(letters)}), letters[32]
         self.of_cut: dict[str, bytes | None] = {"": None}
         self.of_word: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,20 +83,20 @@ class Encoder:
         if found is None:
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             self.of_cut[word] = found = self.of_letters(self.space + letters)
+            self.held += len(word) + len(found)
         return found
 
     def word(self, word: str) -> bytes:
         found = self.of_word.get(word)
         if found is None:
             self.of_word[word] = found = self.of_letters(word.encode().decode("latin-1").translate(self.letters))
+            self.held += len(word) + len(found)
         return found
 
     def learn(self, cuts: list[str]) -> None:
         """Have the ids of these cuts, each without the space that it begins with, in memory."""
-        if len(self.of_cut) > CACHE:
-            self.of_cut = {"": None}
-        if len(self.of_word) > CACHE:
-            self.of_word = {}
+        if self.held > CACHE_BYTES:
+            self.of_cut, self.of_word, self.held = {"": None}, {}, 0
         known = self.of_cut
         for c in cuts:
             if c in known:
@@ -108,6 +109,7 @@ class Encoder:
                 first, *rest = self.words.findall(" " + c)
                 head = self.spaced(first[1:]) if first[1:].isalpha() else self.word(first)
                 known[c] = head + b"".join(map(self.word, rest))
+                self.held += len(c) + len(known[c])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -154,7 +156,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = encoder(tokenizer).encode(texts)
             out = [(doc, *p) for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True) for p in cut(x + end, capacity)]
@@ -164,27 +166,30 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(row, row + len(out)))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
             row += len(out)
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
-def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of the highest price within the capacity: unbounded knapsack by dynamic programming."""
-    value, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+def best_pattern(prices: np.ndarray) -> Counter:
+    """The multiset of lengths of the highest price within the capacity: unbounded knapsack by dynamic programming.
+
+    prices[k] is that of length k, from 0 to the capacity; 0 where there is none.
+    """
+    capacity = len(prices) - 1
+    value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        if k := fits[c]:
-            options = value[c - lengths[:k]] + prices[:k]
-            if options[best := int(options.argmax())] > value[c]:
-                value[c], pick[c] = options[best], best
+        options = value[c - 1 :: -1] + prices[1 : c + 1] if c > 1 else prices[1:2]
+        best = int(options.argmax())
+        if options[best] > value[c - 1]:
+            value[c], pick[c] = options[best], best + 1 if prices[best + 1] > 0 else 0
+        else:
+            value[c] = value[c - 1]
     found, c = Counter(), capacity
     while c > 0:
-        if pick[c] < 0:
+        if not pick[c]:
             c -= 1
         else:
             found[int(pick[c])] += 1
-            c -= int(lengths[pick[c]])
+            c -= int(pick[c])
     return found
 
 
@@ -196,16 +201,21 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     the gaps that these leave.
     """
     total = (lengths * counts).sum()
+    if total <= capacity:
+        return []
     step = max(total / capacity / rounds, 1.0)
     covered, out = np.zeros(len(lengths)), []
     start = (lengths / capacity) ** PRICE_POWER
+    place = {int(x): i for i, x in enumerate(lengths)}
+    prices = np.zeros(capacity + 1)
     for _ in range(4 * rounds):
         done = (lengths * covered).sum() / total
         wanted = counts - covered >= 1e-9
         if done >= COVER or not wanted.any():
             break
         target = np.minimum(1, done * (1 + LEAD * lengths / capacity))
-        pattern = best_pattern(lengths, start * np.exp(RATE * (target - covered / counts)) * wanted, capacity)
+        prices[lengths] = start * np.exp(RATE * (target - covered / counts)) * wanted
+        pattern = Counter({place[x]: n for x, n in best_pattern(prices).items()})
         take = min(step, *((counts[i] - covered[i]) / n for i, n in pattern.items()))
         take = np.floor(take) if take >= 1 else take
         for i, n in pattern.items():
@@ -214,39 +224,94 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return out
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """Best fit decreasing: patterns (tuples of length indices) and their counts."""
-    room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    for i in np.argsort(-lengths, kind="stable"):
-        size = int(lengths[i])
-        for _ in range(int(counts[i])):
-            left = next((r for r in range(size, capacity + 1) if room[r]), None)
-            bin_ = room[left].pop() if left is not None else []
-            bin_.append(int(i))
-            room[(capacity if left is None else left) - size].append(bin_)
-    return Counter(tuple(sorted(b)) for bins in room for b in bins)
+Bins = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def filled(lengths: list[int], left: list[int], capacity: int) -> Bins:
+    """Patterns (index of a length, how many) and their times for what rounding leaves: around the longest piece what fills it best.
+
+    The fill is a knapsack by dynamic programming as well, over sets of sums kept as the bits of a number;
+    of equal fills it takes the longest pieces, so that short ones stay for the gaps of later sequences.
+    """
+    out, left = [], list(left)
+    for top in range(len(lengths) - 1, -1, -1):
+        while left[top]:
+            left[top] -= 1
+            room = capacity - lengths[top]
+            full, sums, steps = 1 << room, 1, []
+            for k in range(top, -1, -1):
+                n, pack = min(left[k], room // lengths[k]), 1
+                while n > 0:  # by powers of two, which give each number of pieces up to n
+                    pack = min(pack, n)
+                    before, sums = sums, (sums | sums << pack * lengths[k]) & (2 * full - 1)
+                    if sums != before:
+                        steps.append((k, pack, before))
+                    n, pack = n - pack, 2 * pack
+                if sums & full:
+                    break
+            left[top] += 1
+            bin_, at = Counter({top: 1}), sums.bit_length() - 1
+            for k, pack, before in reversed(steps):
+                if not before >> at & 1:
+                    bin_[k] += pack
+                    at -= pack * lengths[k]
+            times = min(left[k] // n for k, n in bin_.items())
+            for k, n in bin_.items():
+                left[k] -= n * times
+            out.append((tuple(sorted(bin_.items())), times))
+    return out
+
+
+def best_fit(lengths: list[int], left: list[int], capacity: int) -> Bins:
+    """The same by best fit decreasing; sequences of one pattern are handled together."""
+    room: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for k in range(len(lengths) - 1, -1, -1):
+        n, size = left[k], lengths[k]
+        for r in sorted(room):
+            while r >= size and n and room.get(r):
+                bin_, times = room[r].pop()
+                each = min(r // size, n)
+                many = min(times, n // each)
+                if many < times:
+                    room[r].append((bin_, times - many))
+                room.setdefault(r - each * size, []).append((bin_ | {k: each}, many))
+                n -= each * many
+        if n:
+            each = capacity // size
+            for e, many in ((each, n // each), (n % each, 1)):
+                if e and many:
+                    room.setdefault(capacity - e * size, []).append(({k: e}, many))
+    return [(tuple(sorted(bin_.items())), times) for bins in room.values() for bin_, times in bins]
+
+
+def rounded(solution: list[tuple[Counter, float]], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Bins:
+    """Whole sequences of a fractional solution, within the counts, and the better filling of what is left."""
+    sums: Counter = Counter()
+    for pattern, x in solution:
+        sums[tuple(sorted(pattern.items()))] += x
+    out, left = [], counts.tolist()
+    for pattern, x in sums.most_common():
+        take = min(int(x + 1e-9), *(left[i] // n for i, n in pattern))
+        if take > 0:
+            out.append((pattern, take))
+            for i, n in pattern:
+                left[i] -= n * take
+    return out + min((fill(lengths.tolist(), left, capacity) for fill in (filled, best_fit)), key=lambda bins: sum(t for _, t in bins))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: how many}) and how many sequences take each; together they take every piece once."""
+    """Patterns ({length: how many}) and how many sequences take each; together they take every piece once.
+
+    The last rounds of the program serve what the first ones left over, so the solution is also rounded
+    from its first `KEEP` shares of the rounds, and the one with the fewest sequences is taken.
+    """
     lengths = np.array(sorted(histogram), np.int64)
-    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    solution = fractional(lengths, counts, capacity)
+    tries = [rounded(solution[: int(np.ceil(share * len(solution)))], lengths, counts, capacity) for share in KEEP] if len(lengths) else [[]]
     out: Counter = Counter()
-    while (worth := (left * lengths).sum() / capacity) > TAIL:
-        some = np.flatnonzero(left)
-        solution: Counter = Counter()
-        for pattern, x in fractional(lengths[some], left[some], capacity):
-            solution[tuple(sorted((int(some[i]), n) for i, n in pattern.items()))] += x
-        for pattern, x in solution.most_common():
-            take = min(int(x), *(int(left[i]) // n for i, n in pattern)) if x >= 1 else 0
-            if take > 0:
-                out[pattern] += take
-                for i, n in pattern:
-                    left[i] -= n * take
-        if (left * lengths).sum() / capacity > 0.9 * worth:
-            break
-    for bin_, times in best_fit(lengths, left, capacity).items():
-        out[tuple(sorted(Counter(bin_).items()))] += times
+    for pattern, times in min(tries, key=lambda bins: sum(t for _, t in bins)):
+        out[pattern] += times
     return [({int(lengths[i]): n for i, n in pattern}, times) for pattern, times in out.items()]
 
 
