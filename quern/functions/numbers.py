@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
-    """part over whole times scale; null if whole is 0 or null."""
-    return scale * F.try_divide(part.cast("double"), whole.cast("double"))
-
-
-def change(new: Column, old: Column) -> Column:
-    return new - old
-
-
 def change_percent(new: Column, old: Column) -> Column:
     return 100 * F.try_divide((new - old).cast("double"), old.cast("double"))
 
@@ -29,25 +20,9 @@ def to_flag(c: Column) -> Column:
     return F.when(low.isin("true", "1", "yes", "t"), True).when(low.isin("false", "0", "no", "f"), False)
 
 
-def average_rank_percentile(value: Column, *group: str | Column) -> Column:
-    """(average rank - 1) / (n - 1) among the values that are not null; a lone value 0.5, null for null."""
-    parts = [*group, value.isNotNull()]
-    ordered, same = Window.partitionBy(*parts).orderBy(value), Window.partitionBy(*parts, value)
-    n = F.count(value).over(Window.partitionBy(*parts))
-    rank = F.rank().over(ordered) + (F.count(F.lit(1)).over(same) - 1) / 2
-    return F.when(value.isNull(), None).when(n == 1, 0.5).otherwise((rank - 1) / (n - 1))
-
-
-def min_max(value: Column, *group: str | Column) -> Column:
-    """value scaled to 0..1 within its group; 1 where all are equal."""
-    over = Window.partitionBy(*group)
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.when(high == low, 1.0).otherwise(F.try_divide((value - low).cast("double"), (high - low).cast("double")))
-
-
 def quintile(p: Column) -> Column:
-    """1..5 from a percentile."""
-    return F.least(F.lit(5), F.floor(p * 5) + 1).cast("int")
+    """1..5 from a percentile; null for null."""
+    return F.when(p.isNotNull(), F.least(F.lit(5), F.floor(p * 5) + 1)).cast("int")
 
 
 def bucket(value: Column, edges: list[float]) -> Column:

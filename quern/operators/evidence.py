@@ -26,6 +26,87 @@ def check_rows(df: DataFrame, exact: int | None = None, most: int | None = None)
     return df
 
 
+def bounds(snapshot_rows: DataFrame, key: str, date: str) -> dict[str, int]:
+    """The sizes that a declared cardinality may name: snapshot_rows, listings and snapshots."""
+    row = snapshot_rows.agg(F.count(F.lit(1)), F.count_distinct(key), F.count_distinct(date)).first()
+    return dict(zip(("snapshot_rows", "listings", "snapshots"), row, strict=True))
+
+
+def check_cardinality(df: DataFrame, declared: str, named: dict[str, int]) -> DataFrame:
+    """`12`, `<= 12`, `listings` or `<= listings`: the number of rows is that, or at most that."""
+    text = declared.replace(" ", "")
+    most, name = text.startswith("<="), text.removeprefix("<=")
+    if not name.isdigit() and name not in named:
+        raise ContractError("CARDINALITY", f"{name} is no size")
+    size = int(name) if name.isdigit() else named[name]
+    return check_rows(df, most=size) if most else check_rows(df, exact=size)
+
+
+def check_fanout(df: DataFrame, inputs: list[DataFrame], times: int = 8) -> DataFrame:
+    """A joined intermediate has at most `times` the rows of its largest input."""
+    return check_rows(df, most=times * max(i.count() for i in inputs))
+
+
+def broken(df: DataFrame, postconditions: list[str]) -> DataFrame:
+    """(condition, n) of the postconditions that rows break: unique:a,b; nonnegative:a; range:a:low:high."""
+    out = None
+    for condition in postconditions:
+        kind, _, rest = condition.partition(":")
+        if kind == "unique":
+            rows = not_unique(df, rest.split(","))
+        elif kind == "nonnegative":
+            rows = negative(df, rest.split(","))
+        elif kind == "range":
+            column, low, high = rest.split(":")
+            rows = outside(df, column, float(low), float(high))
+        else:
+            raise ContractError("UNKNOWN_POSTCONDITION", condition)
+        counted = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(condition).alias("condition"), "n").where("n > 0")
+        out = counted if out is None else out.union(counted)
+    return out
+
+
+#: The range of a value by its unit.
+UNIT_RANGES = {"percent": (0.0, 100.0), "ratio": (0.0, 1.0), "count": (0.0, None)}
+
+
+def off_unit(df: DataFrame, value: str, unit: str) -> DataFrame:
+    """Evidence whose value lies outside of what its unit allows; a count has to be whole."""
+    v, found = F.col(value), F.lit(False)
+    for name, (low, high) in UNIT_RANGES.items():
+        bad = (v < low) | (F.lit(False) if high is None else v > high)
+        found = F.when(F.col(unit) == name, bad | ((v != F.floor(v)) if name == "count" else F.lit(False))).otherwise(found)
+    return df.where(F.coalesce(found, F.lit(False)))
+
+
+def off_share(df: DataFrame, key: str, parents: tuple[str, str], scale: str, tolerance: float = 1e-6) -> DataFrame:
+    """Shares that are not scale x numerator / denominator of the evidence that they name.
+
+    df: key, value, the two parents' keys and scale. A share whose parent is missing is broken too; one over
+    zero has to be null.
+    """
+    top, bottom = (df.select(F.col(key).alias(p), F.col("value").alias(f"__{k}")) for k, p in enumerate(parents))
+    both = df.where(F.col(parents[0]).isNotNull()).join(top, parents[0], "left").join(bottom, parents[1], "left")
+    want = F.col(scale) * F.try_divide(F.col("__0"), F.col("__1"))
+    close = F.abs(F.col("value") - want) <= tolerance * F.greatest(F.lit(1.0), F.abs(want))
+    fine = F.when(F.col("__0").isNull() | F.col("__1").isNull(), False).when(want.isNull(), F.col("value").isNull()).otherwise(F.coalesce(close, F.lit(False)))
+    return both.where(~fine).select(key, "value", want.alias("expected"))
+
+
+def off_delta(df: DataFrame, key: str, start: str, end: str, tolerance: float = 1e-6) -> DataFrame:
+    """Deltas that are not end - start of the evidence that they name; a missing parent breaks them."""
+    a, b = (df.select(F.col(key).alias(p), F.col("value").alias(f"__{k}")) for k, p in enumerate((start, end)))
+    both = df.where(F.col(start).isNotNull()).join(a, start, "left").join(b, end, "left")
+    want = F.col("__1") - F.col("__0")
+    close = F.abs(F.col("value") - want) <= tolerance * F.greatest(F.lit(1.0), F.abs(want))
+    return both.where(~F.coalesce(close, F.lit(False))).select(key, "value", want.alias("expected"))
+
+
+def not_covered(df: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+    """The dates or markets that were asked for and of which there is no evidence."""
+    return asked.select(column).distinct().join(df.select(column).distinct(), column, "left_anti")
+
+
 def not_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -52,6 +52,57 @@ def orphan_issues(df: DataFrame, of: DataFrame, keys: list[str], code: str, data
     return issue(lost, "warning", code, dataset, F.concat_ws(":", *(F.col(k).cast("string") for k in keys)))
 
 
+#: Child dataset, parent dataset, keys and code of each reference between the tables of a drop.
+REFERENCES = [
+    ("products", "shop_info", ["country_code", "shop_id"], "ORPHAN_PRODUCT_SHOP"),
+    ("product_categories", "products", ["country_code", "shop_id", "item_id"], "ORPHAN_CATEGORY_MAPPING_PRODUCT"),
+    ("product_categories", "category_list", ["country_code", "shop_id", "category_id"], "ORPHAN_CATEGORY_MAPPING_SHELF"),
+    ("products", "category_platform", ["country_code", "catid_num"], "ORPHAN_PLATFORM_CATEGORY"),
+]
+
+
+def reference_issues(tables: dict[str, DataFrame]) -> DataFrame:
+    """The issues of all declared references between the tables that are there; a null key is no reference."""
+    out = None
+    for child, parent, keys, code in REFERENCES:
+        if child in tables and parent in tables:
+            found = orphan_issues(tables[child].dropna(subset=keys), tables[parent], keys, code, child)
+            out = found if out is None else out.union(found)
+    return out
+
+
+#: Names of the columns that hold a date, and prefixes of tables that are series over time, with their keys.
+DATE_COLUMNS, SERIES, SERIES_KEYS = ("date", "snapshot_date", "observed_date"), ("products_timeseries", "shop_stats", "product_promotions"), ("product_listing_key", "item_id", "shop_id")
+
+
+def publish_issues(df: DataFrame, table: str) -> DataFrame:
+    """(code, column) of what no table should be published with.
+
+    all_null_column and constant_column (of more than one row), missing_date_in_range (three dates or more, with
+    a hole), grain_mismatch (a series over time in which no key has two rows).
+    """
+    rows = degenerate(df, df.columns)
+    many = df.limit(2).count() > 1
+    verdicts = {"all_null": "all_null_column"} | ({"constant": "constant_column"} if many else {})
+    out = rows.where(F.col("verdict").isin(*verdicts)).select(F.when(F.col("verdict") == "all_null", "all_null_column").otherwise("constant_column").alias("code"), "column")
+    date = next((c for c in DATE_COLUMNS if c in df.columns), None)
+    if date:
+        day = F.to_date(F.try_to_timestamp(F.col(date).cast("string")))
+        span = df.select(day.alias("d")).agg(F.count_distinct("d").alias("n"), F.date_diff(F.max("d"), F.min("d")).alias("days"))
+        out = out.union(span.where("n >= 3 and days + 1 > n").select(F.lit("missing_date_in_range"), F.lit(date)))
+    key = next((c for c in SERIES_KEYS if c in df.columns), None)
+    if key and table.startswith(SERIES):
+        most = df.groupBy(key).count().agg(F.max("count").alias("n"))
+        out = out.union(most.where("n <= 1").select(F.lit("grain_mismatch"), F.lit(key)))
+    return out
+
+
+def repeat_flags(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """df with repeated (another row is equal in columns) and repeats_earlier (such a row stands before it)."""
+    equal = Window.partitionBy(*columns)
+    return df.withColumns({"repeated": F.count(F.lit(1)).over(equal) > 1, "repeats_earlier": F.row_number().over(equal.orderBy(order)) > 1})
+
+
 def path_mismatches(df: DataFrame, pairs: dict[str, str], dataset: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Values against those of the path (column to path column): empty ones are filled, others are issues."""
     out, issues = df, None

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most rows and the last offset that a ranking may ask for.
+MOST_ROWS, MOST_OFFSET = 10_000, 98
+
+
 class ContractError(ValueError):
     """A request that would give a wrong or arbitrary answer; code says which rule it breaks."""
 
@@ -26,17 +30,30 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
         raise ContractError("JOIN_FANOUT", f"{keys} are not unique")
 
 
-def relation_join(left: DataFrame, right: DataFrame, keys: dict[str, str], columns: dict[str, str], date: tuple[str, str] | None = None, small: bool = False) -> DataFrame:
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df as it is, but a key that repeats is an error when the rows are read: no join can then multiply rows unseen."""
+    others = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.first(F.struct(*others)).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    safe = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"JOIN_FANOUT: {keys} are not unique: "), F.to_json(F.struct(*keys))))).otherwise(F.col("__row"))
+    return grouped.select(*keys, safe.alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in others))
+
+
+def relation_join(left: DataFrame, right: DataFrame, keys: dict[str, str], columns: dict[str, str], date: tuple[str, str] | None = None, small: bool = False, many: bool = False) -> DataFrame:
     """Left join on a declared relation: left's columns and the named ones of right (name to new name).
 
     date: (left's, right's) date columns; a row without a match on its own date gets nulls, never
-    another day's values. small: right is of a bounded size and is broadcast.
+    another day's values. small: right is of a bounded size and is broadcast. A right side with repeated
+    keys is an error, unless the relation is declared to be `many`; what is then joined has to be
+    deduplicated before it is aggregated. A null key matches nothing.
     """
     on = keys | ({date[0]: date[1]} if date else {})
-    picked = right.select(*(F.col(r).alias(f"__key_{k}") for k, r in enumerate(on.values())), *(F.col(c).alias(n) for c, n in columns.items()))
+    names = [f"__key_{k}" for k in range(len(on))]
+    picked = right.select(*(F.col(r).alias(n) for r, n in zip(on.values(), names, strict=True)), *(F.col(c).alias(n) for c, n in columns.items()))
+    if not many and columns:
+        picked = one_per_key(picked.dropna(subset=names), names)
     kept = left.drop(*columns.values())
-    condition = reduce(lambda a, b: a & b, [kept[le] == picked[f"__key_{k}"] for k, le in enumerate(on)])
-    return kept.join(F.broadcast(picked) if small else picked, condition, "left").drop(*(f"__key_{k}" for k in range(len(on))))
+    condition = reduce(lambda a, b: a & b, [kept[le] == picked[n] for le, n in zip(on, names, strict=True)])
+    return kept.join(F.broadcast(picked) if small else picked, condition, "left").drop(*names)
 
 
 def members(df: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,8 +91,10 @@ def compare_dates(df: DataFrame, keys: list[str], value: str, date: str, start,
 def ranked(df: DataFrame, by: str, limit: int, ties: list[str], offset: int = 0, descending: bool = True) -> DataFrame:
     """Rows offset+1 .. offset+limit by `by` (nulls last), with position and whether the cuts split equal values.
 
-    A position beyond the end gives no rows.
+    A position beyond the end gives no rows. The rows up to the cut, a bounded number, meet in one task.
     """
+    if not 1 <= limit <= MOST_ROWS or not 0 <= offset <= MOST_OFFSET:
+        raise ContractError("RANK_LIMIT", f"{limit} rows from {offset}")
     order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
     top = df.orderBy(order, *ties).limit(offset + limit + 1)
     w = Window.orderBy(order, *ties)
@@ -90,6 +109,12 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("position") <= k)
 
 
+def best_of(df: DataFrame, group: list[str], key: str, order: list[Column], k: int, parts: int = 64) -> DataFrame:
+    """top_per_group in two steps: parts of a group, by a hash of key, keep their own best first, so that a group never meets whole."""
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    return top_per_group(top_per_group(dealt, [*group, "__part"], order, k).drop("position", "__part"), group, order, k)
+
+
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
@@ -124,6 +149,59 @@ def join_results(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return left.join(right, on, how)
 
 
+def side_by_side(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Results as sections under their names: never one frame, and nothing is computed across them."""
+    if not 2 <= len(parts) <= 4:
+        raise ContractError("SECTION_ARITY", f"{len(parts)} parts")
+    return dict(parts)
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """Rows of no order of their own sorted by all columns, nulls last."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in df.columns))
+
+
+def head(df: DataFrame, shown: int = 10) -> tuple[DataFrame, bool]:
+    """The first rows, and whether there are more."""
+    return df.limit(shown), df.limit(shown + 1).count() > shown
+
+
+def tie_policy(ranked_rows: DataFrame, limit: int) -> DataFrame:
+    """A ranking of one row whose cut splits equal values is refused; of a longer one the tie stays recorded."""
+    if limit == 1 and not ranked_rows.where("tie_at_cut").isEmpty():
+        raise ContractError("TIE_AT_TOP", "several rows share the first place")
+    return ranked_rows
+
+
+def steps_of(steps: DataFrame) -> None:
+    """Refuse to draw one conclusion from steps (step, value, unit) if one was not answered."""
+    if not steps.where(F.col("value").isNull()).isEmpty():
+        raise ContractError("STEP_UNANSWERED", "a step has no answer")
+
+
+def best_step(steps: DataFrame, smallest: bool = False) -> DataFrame:
+    """The step of the greatest (or smallest) value; ties go to the first by name."""
+    steps_of(steps)
+    order = F.col("value").asc() if smallest else F.col("value").desc()
+    return steps.orderBy(order, "step").limit(1)
+
+
+def compare_steps(steps: DataFrame) -> DataFrame:
+    """Two answered steps of one unit as one row: high_step, high, low_step, low, difference, relation (higher or equal)."""
+    steps_of(steps)
+    if steps.count() != 2 or steps.select("unit").distinct().count() != 1:
+        raise ContractError("NOT_COMPARABLE", "two steps of one unit are needed")
+    row = F.struct("value", F.col("step"))
+    ends = steps.agg(F.max(row).alias("a"), F.min(row).alias("b"))
+    out = ends.select(F.col("a.step").alias("high_step"), F.col("a.value").alias("high"), F.col("b.step").alias("low_step"), F.col("b.value").alias("low"))
+    return out.withColumn("difference", F.col("high") - F.col("low")).withColumn("relation", F.when(F.col("high") == F.col("low"), "equal").otherwise("higher"))
+
+
+def list_steps(steps: DataFrame) -> DataFrame:
+    """Each step with its value, or the rule by which it has none."""
+    return steps.select("step", "value", "unit", F.when(F.col("value").isNull(), F.coalesce("rule", F.lit("unanswered"))).alias("rule")).orderBy("step")
+
+
 def combine_sum(parts: DataFrame, value: str, date: str) -> DataFrame:
     """The sum of step results, refused over several dates, as that would count a thing twice."""
     if parts.select(date).distinct().limit(2).count() > 1:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import numbers, text
-from quern.operators import evidence, mart, panel, quality, tools
+from quern.operators import evidence, mart, order, panel, quality, tools
 from quern.operators import relational as r
 from quern.plans.model import Measure, Pack, Relation, Request, answer
 
@@ -80,9 +80,8 @@ FROM lineitem l LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON
 @query(SALES_SQL + "SELECT market, median(l_extendedprice) AS median_price, count(DISTINCT l_orderkey) AS orders FROM sales WHERE month = DATE '1998-03-01' GROUP BY market")
 def plan_market_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = {"snapshot": datetime.date(1998, 3, 1), "by": ("market",)}
-    prices = answer(SALES, Request("price", "median", **where), spark=spark, sf_dir=sf_dir).withColumnRenamed("value", "median_price")
-    counts = answer(SALES, Request("order", "count", **where), spark=spark, sf_dir=sf_dir).withColumnRenamed("value", "orders")
-    return r.join_results(prices, counts, ["market"])
+    asked = Request("price", "median", also=(("order", "count"),), **where)
+    return answer(SALES, asked, spark=spark, sf_dir=sf_dir).withColumnsRenamed({"value": "median_price", "count_order": "orders"})
 
 
 @query(SALES_SQL + "SELECT shop, CAST(sum(l_quantity) AS DOUBLE) AS value FROM sales WHERE market = 'ASIA' AND l_quantity >= 10 AND brand IN ('Brand#1', 'Brand#2') AND contains(shop, '00') GROUP BY shop")
@@ -155,9 +154,9 @@ def last_known_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_brand, count(DISTINCT CASE WHEN l_discount >= 0.05 THEN l_partkey END) AS numerator, count(DISTINCT l_partkey) AS denominator,
 round(100.0 * CAST(count(DISTINCT CASE WHEN l_discount >= 0.05 THEN l_partkey END) AS DOUBLE) / nullif(count(DISTINCT l_partkey), 0), 6) AS rate
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 3 GROUP BY p_brand""")
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
 def declared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity < 3").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return r.declared_share(rows, ["p_brand"], F.col("l_discount") >= 0.05, "l_partkey", 100.0)
 
 
@@ -194,9 +193,9 @@ def union_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.union_scope([counted("customer", "c_nationkey"), counted("supplier", "s_nationkey")])
 
 
-@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_discount = 0.1 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 5")
+@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 520")
 def group_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.large_groups(table(spark, sf_dir, "lineitem").where("l_discount = 0.1"), ["l_suppkey"], "l_partkey", 5)
+    return r.large_groups(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey", 520)
 
 
 @query("SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
@@ -225,10 +224,9 @@ def cube_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.999), 4) AS p999, quantile_disc(value, 0.95) AS nearest_95, round(median(value), 4) AS median FROM events GROUP BY event_type")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nearest = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.percentile("value", 0.9), 4).alias("p90"), F.round(F.percentile("value", 0.999), 4).alias("p999"), nearest.alias("nearest_95"), F.round(F.median("value"), 4).alias("median")
-    )
+    events = table(spark, sf_dir, "events")
+    linear = order.quantiles(events, ["event_type"], "value", {"p90": 0.9, "p999": 0.999, "median": 0.5}).withColumns({c: F.round(c, 4) for c in ("p90", "p999", "median")})
+    return linear.join(order.quantiles(events, ["event_type"], "value", {"nearest_95": 0.95}, nearest=True), "event_type")
 
 
 # --- windows over the panel ------------------------------------------------------------------------
@@ -261,9 +259,12 @@ MOVES = ["listing", "previous_date", "date", "days", "eligible", "price_change",
 
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = daily_panel(spark, sf_dir).withColumns({"discount": F.col("views").cast("double"), "rating": F.col("likes").cast("double")})
+    """Transitions of the daily panel under the short names used here."""
+    views = F.col("views").cast("double")
+    rows = daily_panel(spark, sf_dir).withColumns({"price_num": F.col("price"), "discount_percent_analysis": views, "monthly_sold_value_num": views, "history_sold_value_num": F.col("sold"), "rating_num": views, "rating_count_num": views, "liked_count_num": F.col("likes"), "is_sold_out_bool": F.col("sold_out"), "has_structured_voucher": F.col("has_voucher")})
     out = panel.transition_metrics(rows, ["listing"])
-    return out.withColumns({c: F.round(c, 4) for c in ("price_change", "price_change_percent")})
+    names = {"days_since_previous": "days", "transition_metric_eligible": "eligible", "history_sold_delta_raw": "sold_delta_raw", "history_sold_decrease_flag": "sold_fell", "snapshot_sales_delta_clean": "sold_delta", "like_delta": "likes_change"}
+    return out.withColumnsRenamed(names).withColumns({c: F.round(c, 4) for c in ("price_change", "price_change_percent")})
 
 
 @query(TRANSITION_SQL + "SELECT " + ", ".join(MOVES) + " FROM moves")
@@ -282,10 +283,10 @@ def panel_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.balance(daily_panel(spark, sf_dir), ["listing"])
 
 
-@query(PANEL_SQL + ", f AS (SELECT * FROM panel WHERE date >= DATE '2024-01-26'), b AS (SELECT listing FROM f GROUP BY 1 HAVING count(DISTINCT date) = (SELECT count(DISTINCT date) FROM f)) SELECT listing, date, min(price) AS price, CASE WHEN date < DATE '2024-01-26' THEN 'before' WHEN date > DATE '2024-01-28' THEN 'after' ELSE 'during' END AS phase FROM f WHERE listing IN (SELECT listing FROM b) GROUP BY listing, date")
+@query(PANEL_SQL + """, b AS (SELECT listing FROM panel GROUP BY 1 HAVING count(DISTINCT date) = (SELECT count(DISTINCT date) FROM panel)), n AS (SELECT round((SELECT count(*) FROM b) / CAST(count(DISTINCT listing) AS DOUBLE), 6) AS share FROM panel)
+SELECT listing, date, min(price) AS price, CASE WHEN date < DATE '2024-01-13' THEN 'before' WHEN date > DATE '2024-01-17' THEN 'after' ELSE 'during' END AS phase, any_value(share) AS selection_share FROM panel, n WHERE listing IN (SELECT listing FROM b) GROUP BY listing, date""")
 def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = daily_panel(spark, sf_dir).where("date >= '2024-01-26'")
-    return panel.price_panel(late, ["listing"], "2024-01-27", 1)
+    return panel.price_panel(daily_panel(spark, sf_dir), ["listing"], "2024-01-15")
 
 
 @query(TRANSITION_SQL + """, i AS (SELECT *, coalesce(lead(previous_date) OVER (PARTITION BY listing ORDER BY date) = date, true) AS joins FROM moves WHERE eligible AND previous_date >= DATE '2024-01-10' AND date <= DATE '2024-01-14')
@@ -299,13 +300,13 @@ def sales_decline(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, round(CASE WHEN n = 1 THEN 0.5 ELSE (rk - 1) / (n - 1) END, 6) AS percentile, CAST(least(5, floor(round(CASE WHEN n = 1 THEN 0.5 ELSE (rk - 1) / (n - 1) END, 6) * 5) + 1) AS INT) AS quintile FROM n""")
 def average_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").withColumn("v", F.round("c_acctbal", -2))
-    out = customers.select("c_custkey", F.round(numbers.average_rank_percentile(F.col("v"), "c_mktsegment"), 6).alias("percentile"))
+    out = order.rank_percentiles(customers, ["c_mktsegment"], "v", "p").select("c_custkey", F.round("p", 6).alias("percentile"))
     return out.withColumn("quintile", numbers.quintile(F.col("percentile")))
 
 
 @query("SELECT s_suppkey, round(CASE WHEN max(s_acctbal) OVER w = min(s_acctbal) OVER w THEN 1.0 ELSE (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w) END, 6) AS scaled FROM supplier WINDOW w AS (PARTITION BY s_nationkey)")
 def min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(numbers.min_max(F.col("s_acctbal"), "s_nationkey"), 6).alias("scaled"))
+    return order.scaled(table(spark, sf_dir, "supplier"), ["s_nationkey"], {"x": "s_acctbal"}).select("s_suppkey", F.round("x", 6).alias("scaled"))
 
 
 @query("SELECT p_brand, p_partkey, p_retailprice, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS position FROM part) WHERE position <= 3")
@@ -328,22 +329,6 @@ def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- derived columns, quality and density ----------------------------------------------------------
 
-SNAPSHOT_SQL = """WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 999999999.0 ELSE l_extendedprice END AS price, l_extendedprice AS price_original,
-CASE WHEN l_tax > 0.01 THEN l_discount END AS discount_percent, l_quantity AS monthly_sold, CASE WHEN l_tax > 0.04 THEN l_discount END AS voucher_discount FROM lineitem)
-"""
-
-
-@query(SNAPSHOT_SQL + """SELECT l_orderkey, l_linenumber, price, monthly_sold, price = 999999999 AS price_sentinel, CASE WHEN price <> 999999999 THEN round(price * monthly_sold, 2) END AS revenue, CASE WHEN price <> 999999999 AND price_original >= price THEN price_original - price END AS discount_amount,
-coalesce(discount_percent, CASE WHEN price <> 999999999 AND price = price_original THEN 0.0 END) AS discount_for_analysis, discount_percent > 0 AS has_discount, coalesce(voucher_discount, 0) > 0 AS has_voucher FROM s""")
-def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 7, F.lit(999999999.0)).otherwise(F.col("l_extendedprice")).alias("price"), F.col("l_extendedprice").alias("price_original"),
-        F.when(F.col("l_tax") > 0.01, F.col("l_discount")).alias("discount_percent"), F.col("l_quantity").alias("monthly_sold"), F.when(F.col("l_tax") > 0.04, F.col("l_discount")).alias("voucher_discount"),
-    )
-    out = panel.snapshot_metrics(rows).withColumn("revenue", F.round("revenue", 2))
-    return out.drop("price_original", "discount_percent", "voucher_discount")
-
-
 @query("""SELECT severity, code, dataset, count(*) AS n FROM (
 SELECT 'warning' AS severity, 'INVALID_NUMBER' AS code, 'events' AS dataset FROM events WHERE try_cast(event_type || event_id AS DOUBLE) IS NULL
 UNION ALL SELECT 'error', 'DUPLICATE_KEY', 'events' FROM (SELECT user_id, ts::DATE FROM events GROUP BY ALL HAVING count(*) > 1)
@@ -410,10 +395,10 @@ def discount_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS listings, avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END) AS rate, median(l_discount / l_quantity) AS depth, median(l_extendedprice) FILTER (l_discount >= 0.05) - median(l_extendedprice) FILTER (NOT l_discount >= 0.05) AS gap FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 5)
-SELECT l_suppkey, listings, round(rate, 6) AS rate, round(depth, 6) AS depth, round(gap, 4) AS gap FROM s WHERE gap IS NOT NULL""")
+SELECT l_suppkey, listings, round(rate, 6) AS rate, round(depth, 6) AS depth, round(gap, 4) AS gap, round(0.4 * (rate - min(rate) OVER ()) / (max(rate) OVER () - min(rate) OVER ()) + 0.3 * (depth - min(depth) OVER ()) / (max(depth) OVER () - min(depth) OVER ()) + 0.3 * (gap - min(gap) OVER ()) / (max(gap) OVER () - min(gap) OVER ()), 4) AS profile_score FROM s WHERE gap IS NOT NULL""")
 def voucher_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("voucher", F.col("l_discount") >= 0.05)
-    return tools.voucher_profile(rows, "l_suppkey", "l_partkey", "voucher", "l_discount", "l_quantity", "l_extendedprice").drop("profile_score")
+    return tools.voucher_profile(rows, "l_suppkey", "l_partkey", "voucher", "l_discount", "l_quantity", "l_extendedprice")
 
 
 @query(TRANSITION_SQL + """, up AS (SELECT * FROM moves WHERE date = DATE '2024-01-20' AND sold_delta > 0), e AS (SELECT market, quantile_cont(sold_delta, 0.9) AS p90, max(sold_delta) AS top FROM up GROUP BY market), t AS (SELECT up.market, count(*) AS tied_at_top FROM up JOIN e ON up.market = e.market AND sold_delta = top GROUP BY 1)
@@ -422,15 +407,16 @@ def top_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.top_movers(moves(spark, sf_dir).where("date = '2024-01-20'"), "market", "listing", "sold_delta")
 
 
-@query(TRANSITION_SQL + "SELECT listing, date, price_change_percent, sold_delta FROM moves WHERE price_change_percent <= -10 AND sold_delta > 0 ORDER BY price_change_percent, listing LIMIT 5")
+@query(TRANSITION_SQL + "SELECT listing, date, price_change_percent, sold_delta FROM moves WHERE eligible AND price_change_percent <= -10 AND sold_delta > 0 AND listing NOT IN (SELECT listing FROM panel WHERE price > 1000) ORDER BY price_change_percent, listing LIMIT 5")
 def price_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart.price_moves(moves(spark, sf_dir), "listing").select("listing", "date", "price_change_percent", "sold_delta")
+    dear = daily_panel(spark, sf_dir).where("price > 1000").select("listing")
+    return mart.price_moves(moves(spark, sf_dir), "listing", dear).select("listing", "date", "price_change_percent", "sold_delta")
 
 
-@query(PANEL_SQL + ", g AS (SELECT count(DISTINCT listing) FILTER (has_voucher) AS n_with, count(DISTINCT listing) FILTER (NOT has_voucher) AS n_without, round(median(price) FILTER (has_voucher), 4) AS median_with, round(median(price) FILTER (NOT has_voucher), 4) AS median_without FROM panel) SELECT *, CASE WHEN n_with >= 10 AND n_without >= 10 THEN round(median_with - median_without, 4) END AS gap FROM g")
+@query(PANEL_SQL + """, f AS (SELECT has_voucher, views FROM panel WHERE market = 0 AND date = (SELECT max(date) FROM panel)), g AS (SELECT count(*) FILTER (has_voucher) AS n_with, count(*) FILTER (NOT has_voucher) AS n_without, median(views) FILTER (has_voucher) AS median_with, median(views) FILTER (NOT has_voucher) AS median_without FROM f)
+SELECT n_with, n_without, CAST(median_with AS DOUBLE) AS median_with, CAST(median_without AS DOUBLE) AS median_without, CASE WHEN n_with >= 10 AND n_without >= 10 THEN CAST(median_with - median_without AS DOUBLE) END AS gap FROM g""")
 def voucher_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mart.voucher_gap(daily_panel(spark, sf_dir), "has_voucher", "price", "listing").withColumns({c: F.round(c, 4) for c in ("median_with", "median_without")})
-    return out.withColumn("gap", F.when(F.col("gap").isNotNull(), F.round(F.col("median_with") - F.col("median_without"), 4)))
+    return mart.voucher_gap(tools.at_latest(daily_panel(spark, sf_dir), "date").where("market = 0"), "has_voucher", "views")
 
 
 def _percentiles(column: str, descending: bool = False) -> str:
@@ -450,19 +436,28 @@ m AS (SELECT *, CASE WHEN delta_p IS NULL THEN sold_p ELSE 0.7 * sold_p + 0.3 *
 """
 
 
-@query(SCORE_SQL + """SELECT listing, market, fallback, round(activity, 4) AS activity, round(momentum, 4) AS momentum, round(value, 4) AS value, round(100 * (0.3 * activity + 0.4 * momentum + 0.3 * value), 2) AS score FROM m""")
-def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily_panel(spark, sf_dir).withColumn("category", F.when(F.col("category") >= 2, F.col("category")))
     last = rows.groupBy("listing", "market", "category").agg(F.max_by("views", "date").alias("monthly_sold"), F.max_by("price", "date").alias("revenue"), F.date_diff(F.lit("2024-01-31").cast("date"), F.max("date")).alias("days_since_activity"))
     deltas = r.last_known(moves(spark, sf_dir), ["listing"], "date", ["sold_delta"])
-    scored = mart.scores(last.join(deltas, "listing", "left"), "market", "category", least=12)
+    return mart.scores(last.join(deltas, "listing", "left"), "listing", "market", "category", least=12)
+
+
+@query(SCORE_SQL + """SELECT listing, market, fallback, round(activity, 4) AS activity, round(momentum, 4) AS momentum, round(value, 4) AS value, round(100 * (0.3 * activity + 0.4 * momentum + 0.3 * value), 2) AS score FROM m""")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scored_listings(spark, sf_dir)
     return scored.select("listing", "market", "fallback", *(F.round(c, 4).alias(c) for c in ("activity", "momentum", "value")), F.round("score", 2).alias("score"))
 
 
-@query(SCORE_SQL + """SELECT segment, count(*) AS n FROM (SELECT CASE WHEN s IS NULL THEN 'InsufficientData' WHEN a < 0.2 AND m < 0.2 THEN 'Dormant' WHEN m < 0.3 THEN 'Cooling' WHEN m >= 0.8 AND v >= 0.8 THEN 'Star' WHEN m >= 0.6 THEN 'Rising' ELSE 'Steady' END AS segment
-FROM (SELECT round(activity, 4) AS a, round(momentum, 4) AS m, round(value, 4) AS v, activity + momentum + value AS s FROM m)) GROUP BY segment""")
+SEGMENT_SQL = SCORE_SQL + """, q AS (SELECT *, least(5, floor(activity * 5) + 1) AS a5, least(5, floor(momentum * 5) + 1) AS m5, least(5, floor(value * 5) + 1) AS v5, activity + momentum + value AS total FROM m),
+g AS (SELECT listing, market, CASE WHEN v5 IS NULL OR total IS NULL THEN 'InsufficientData' WHEN a5 IN (1, 2) AND (monthly_sold IS NULL OR monthly_sold = 0) THEN 'Dormant' WHEN coalesce(sold_delta < 0, false) OR m5 IN (1, 2) THEN 'Cooling'
+WHEN a5 IN (4, 5) AND m5 IN (4, 5) AND v5 IN (4, 5) THEN 'Star' WHEN m5 IN (4, 5) AND v5 < 4 THEN 'Rising' ELSE 'Steady' END AS segment FROM q)
+"""
+
+
+@query(SEGMENT_SQL + "SELECT segment, count(*) AS n FROM g GROUP BY segment")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.value_counts(scorecard(spark, sf_dir).withColumn("segment", mart.segment()), "segment")
+    return r.value_counts(scored_listings(spark, sf_dir).withColumn("segment", mart.segment()), "segment")
 
 
 @query(r"""WITH t AS (SELECT p_partkey, p_name, regexp_split_to_array(lower(p_name), ' ') AS w FROM part), x AS (SELECT DISTINCT p_partkey, unnest(w) AS token FROM t), n AS (SELECT count(*) AS n FROM part)
@@ -492,14 +487,22 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.similar_items(items, items.where("vec_id % 100 = 0"), "vec_id", "path", "embedding")
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part WHERE p_partkey < 60), m AS (SELECT 0 AS mention, 'small' AS a, 'ring' AS b UNION ALL SELECT 1, 'blue', 'nothing' UNION ALL SELECT 2, 'absent', 'words'),
-s AS (SELECT mention, p_partkey, (CASE WHEN m.a IN (p.a, p.b) THEN 1 ELSE 0 END + CASE WHEN m.b IN (p.a, p.b) THEN 1 ELSE 0 END) AS s FROM m, p), r AS (SELECT mention, p_partkey, round(s / (4.0 - s), 6) AS score FROM s WHERE s > 0),
-n AS (SELECT *, row_number() OVER w AS i, lead(score) OVER w AS nx FROM r WINDOW w AS (PARTITION BY mention ORDER BY score DESC, p_partkey))
-SELECT CAST(m.mention AS INT) AS mention, p_partkey, score, CASE WHEN score IS NULL THEN 'none' WHEN score < 0.5 THEN 'low' WHEN score - coalesce(nx, 0) >= 0.05 THEN 'accepted' ELSE 'ambiguous' END AS outcome FROM m LEFT JOIN n ON m.mention = n.mention AND i = 1""")
+MENTIONS = [(0, "small ring", 0), (1, "blue nothing", 1), (2, "absent words", 2), (3, "7", 3), (4, "", 4), (5, "cold widget small", 5)]
+
+
+@query("""WITH m(mention, text, v) AS (VALUES (0, 'small ring', 0), (1, 'blue nothing', 1), (2, 'absent words', 2), (3, '7', 3), (4, '', 4), (5, 'cold widget small', 5)), p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, embedding AS e FROM part JOIN embeddings ON vec_id = p_partkey % 50),
+f AS (SELECT token FROM (SELECT DISTINCT p_partkey, unnest(w) AS token FROM p) GROUP BY token HAVING count(*) > 0.05 * (SELECT count(*) FROM p)), fl AS (SELECT list(token) AS common FROM f),
+x AS (SELECT m.mention, p_partkey, list_distinct(string_split(m.text, ' ')) AS mw, list_distinct(p.w) AS pw, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS c FROM m JOIN embeddings ON vec_id = v, p WHERE regexp_matches(m.text, '[a-z]')),
+s AS (SELECT mention, p_partkey, round(len(list_intersect(mw, pw)) / CAST(len(list_distinct(list_concat(mw, pw))) AS DOUBLE), 6) AS lex, round(greatest(c, 0), 6) AS dense, list_filter(mw, lambda t: NOT list_contains(common, t)) AS rare, pw FROM x, fl WHERE list_has_any(mw, pw)),
+k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY lex DESC, p_partkey) AS a, row_number() OVER (PARTITION BY mention ORDER BY dense DESC, p_partkey) AS b, len(rare) > 0 AND list_has_all(pw, rare) AS r FROM s),
+z AS (SELECT *, row_number() OVER (PARTITION BY mention, r ORDER BY p_partkey) AS c FROM k), w AS (SELECT mention, p_partkey, round(0.45 * lex + 0.55 * dense, 6) AS score FROM z WHERE a <= 20 OR b <= 20 OR (r AND c <= 20) UNION ALL SELECT 3, p_partkey, 1.0 FROM part WHERE p_partkey = 7),
+n AS (SELECT *, row_number() OVER o AS i, lead(score) OVER o AS nx FROM w WINDOW o AS (PARTITION BY mention ORDER BY score DESC, p_partkey))
+SELECT CAST(m.mention AS INT) AS mention, p_partkey, CAST(score AS DOUBLE) AS score, CASE WHEN m.text = '' THEN 'not_found' WHEN score IS NULL OR score < 0.5 THEN 'invalid_extraction' WHEN nx IS NULL OR round(score - nx, 6) >= 0.05 THEN 'resolved' ELSE 'ambiguous_broad' END AS outcome FROM m LEFT JOIN n ON m.mention = n.mention AND i = 1""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").where("p_partkey < 60").select("p_partkey", text.tokens(F.col("p_name")).alias("tokens"))
-    asked = spark.createDataFrame([(0, ["small", "ring"]), (1, ["blue", "nothing"]), (2, ["absent", "words"])], "mention int, tokens array<string>")
-    return tools.resolve_entities(asked, names, "p_partkey")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), (F.col("p_partkey") % 50).alias("vec_id"))
+    asked = spark.createDataFrame(MENTIONS, "mention int, text string, vec_id long")
+    return tools.resolve_entities(asked.join(vectors, "vec_id"), parts.join(vectors, "vec_id"), "p_partkey")
 
 
 @query("""SELECT o_orderkey, 'lines' AS metric FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 9)""")
@@ -561,9 +564,11 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.value_counts(parsed, "k")
 
 
-@query("SELECT s_suppkey, s_acctbal, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS position FROM supplier) WHERE position BETWEEN 11 AND 30")
+@query("SELECT s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS position FROM supplier) WHERE position BETWEEN 6 AND 25")
 def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart.page(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), [F.col("s_acctbal").desc(), F.col("s_suppkey")], 10, 20)
+    rows, by = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), {"s_acctbal": True, "s_suppkey": False}
+    last = mart.page(rows, by, 5).collect()[-1]
+    return mart.page(rows, by, 20, (last["s_acctbal"], last["s_suppkey"]))
 
 
 @query("SELECT p_partkey, p_brand, p_retailprice FROM part JOIN (SELECT p_brand AS b, quantile_cont(p_retailprice, 0.97) AS edge FROM part GROUP BY 1) ON p_brand = b WHERE p_retailprice > edge")
@@ -582,12 +587,12 @@ def latest_snapshot_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.at_latest(table(spark, sf_dir, "events").withColumn("date", day("ts")), "date", "user_id").select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS parts, o_totalprice AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, o_totalprice HAVING abs(sum(CAST(l_extendedprice AS DECIMAL(18,2))) - o_totalprice) > 0.9 * greatest(1, abs(o_totalprice))""")
+@query("""SELECT l_orderkey, CAST(parts AS DOUBLE) AS parts, total FROM (SELECT coalesce(l_orderkey, o_orderkey) AS l_orderkey, parts, o_totalprice AS total FROM (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS parts FROM lineitem GROUP BY 1) FULL JOIN orders ON l_orderkey = o_orderkey) WHERE NOT coalesce(abs(parts - total) <= 0.9 * greatest(1, abs(total)), false)""")
 def evidence_parts_and_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", money("l_extendedprice").alias("amount"))
     totals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("amount"))
     off = evidence.parts_off_total(lines, totals, ["l_orderkey"], "amount", 0.9)
-    return off.where("parts is not null and total is not null").withColumn("parts", F.col("parts").cast("double"))
+    return off.withColumn("parts", F.col("parts").cast("double"))
 
 
 @query("SELECT s_nationkey, s_suppkey, s_acctbal, CAST(lead(s_suppkey) OVER w AS BIGINT) AS following, round(s_acctbal - lag(s_acctbal) OVER w, 2) AS step FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)")
@@ -596,3 +601,7 @@ def lead_and_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
     return table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.lead("s_suppkey").over(w).alias("following"), F.round(F.col("s_acctbal") - F.lag("s_acctbal").over(w), 2).alias("step"))
+
+
+# The queries over the marketplace are registered with these.
+from quern import market_queries  # noqa: E402, F401

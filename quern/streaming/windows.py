@@ -33,28 +33,32 @@ def distinct_events(events: DataFrame, keys: list[str], late: str, time: str = "
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def transitions(snapshots: DataFrame, key: str, date: str = "date", value: str = "value") -> DataFrame:
+def transitions(snapshots: DataFrame, key: str, date: str = "date", value: str = "value", keep_ms: int | None = None) -> DataFrame:
     """Each snapshot's change against the last one of its listing, by state that holds one row per listing.
 
-    A snapshot older than the state's is late: it gives no transition and does not replace the state.
+    A snapshot older than the state's is late: it gives no transition and does not replace the state. Of
+    snapshots of one day the first counts. keep_ms: how long the state of a listing that is seen no more is
+    kept; without it, it is kept for good. A listing that returns later starts anew.
     """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = []
-        for row in pd.concat(list(frames)).sort_values(date).itertuples(index=False):
-            day, amount = getattr(row, date), float(getattr(row, value))
-            if last is not None and day <= last[0]:
-                continue
-            if last is not None:
-                days = (day - last[0]).days
-                rows.append((group[0], last[0], day, days, days == 1, amount - last[1] if days == 1 else None))
-            last = (day, amount)
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(rows, columns=["key", "previous_date", "date", "days", "eligible", "change"])
+        names = ["key", "previous_date", "date", "days", "eligible", "change"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(columns=names)
+            return
+        rows = pd.concat([f[[date, value]] for f in frames]).dropna(subset=[date]).astype({value: "float64"}).drop_duplicates(date).sort_values(date)
+        if state.exists:
+            last = state.get
+            rows = pd.concat([pd.DataFrame({date: [last[0]], value: [last[1]]}), rows[rows[date] > last[0]]])
+        days = pd.to_datetime(rows[date]).diff().dt.days
+        out = pd.DataFrame({"key": group[0], "previous_date": rows[date].shift(), "date": rows[date], "days": days, "eligible": days == 1, "change": rows[value].diff().where(days == 1)})
+        if len(rows):
+            state.update((rows[date].iloc[-1], float(rows[value].iloc[-1])))
+            if keep_ms:
+                state.setTimeoutDuration(keep_ms)
+        yield out.iloc[1:].astype({"days": "int32"})
 
     kind = snapshots.schema[key].dataType.simpleString()
-    return snapshots.groupBy(key).applyInPandasWithState(
-        step, f"key {kind}, previous_date date, date date, days int, eligible boolean, change double", "date date, value double", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return snapshots.groupBy(key).applyInPandasWithState(step, f"key {kind}, previous_date date, date date, days int, eligible boolean, change double", "date date, value double", "append", timeout)

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import numbers, text
-from quern.operators import evidence, mart, panel, quality, tools
+from quern.operators import evidence, mart, order, panel, quality, tools
 from quern.operators import relational as r
 from quern.plans.model import Measure, Pack, Request, answer
-from quern.sources import raw
+from quern.sources import raw, versions
 from quern.streaming import windows
 
 D = [datetime.date(2024, 1, d) for d in range(1, 10)]
@@ -31,6 +31,9 @@ def test_fan_out_is_refused_and_dates_align(spark):
     assert sorted(map(tuple, r.relation_join(left, right, {"k": "k"}, {"v": "v"}, ("d", "d")).collect()), key=repr) == [(1, D[0], "x"), (1, D[1], None), (None, D[0], None)]
     with pytest.raises(r.ContractError, match="JOIN_FANOUT"):
         r.assert_unique(right, ["k"])
+    with pytest.raises(Exception, match="JOIN_FANOUT"):
+        r.relation_join(left, right, {"k": "k"}, {"v": "v"}).collect()
+    assert r.relation_join(left, right, {"k": "k"}, {"v": "v"}, many=True).count() == 5
 
 
 @pytest.mark.parametrize(("limit", "offset", "want"), [(1, 0, [(1, True)]), (3, 0, [(1, False), (2, False), (3, False)]), (2, 1, [(2, True), (3, False)]), (2, 9, [])])
@@ -59,17 +62,18 @@ def test_union_and_sum_refuse_what_does_not_fit(spark):
 
 def test_percentiles_of_ties_one_and_null(spark):
     df = frame(spark, [("a", 1.0), ("a", 1.0), ("a", 3.0), ("a", None), ("b", 7.0)], "g string, v double")
-    got = sorted(((x[0], x[1], x[2]) for x in df.select("g", "v", numbers.average_rank_percentile(F.col("v"), "g").alias("p")).collect()), key=repr)
+    got = sorted(((x[0], x[1], x[2]) for x in order.rank_percentiles(df, ["g"], "v", "p").select("g", "v", "p").collect()), key=repr)
     assert got == [("a", 1.0, 0.25), ("a", 1.0, 0.25), ("a", 3.0, 1.0), ("a", None, None), ("b", 7.0, 0.5)]
 
 
 def test_transitions_gaps_balance_and_legs(spark):
-    rows = [("a", D[0], 10.0, 5), ("a", D[1], 5.0, 9), ("a", D[3], 5.0, 8), ("a", D[4], 5.0, 3), *(("b", d, 1.0, k) for k, d in enumerate(D[:5]))]
-    df = frame(spark, rows, "k string, date date, price double, sold long").withColumns({"discount": F.lit(0.0), "rating": F.lit(1.0), "likes": F.lit(1), "sold_out": F.col("date") == F.lit(D[1]), "has_voucher": F.lit(None).cast("boolean")})
+    rows = [("a", D[0], 10.0, 5), ("a", D[1], 5.0, 9), ("a", D[3], 5.0, 8), ("a", D[4], 999999999.0, 3), *(("b", d, 1.0, k) for k, d in enumerate(D[:5]))]
+    one = F.lit(1.0)
+    df = frame(spark, rows, "k string, date date, price_num double, history_sold_value_num long").withColumns({"discount_percent_analysis": one, "monthly_sold_value_num": one, "rating_num": one, "rating_count_num": one, "liked_count_num": one, "is_sold_out_bool": F.when(F.col("date") == F.lit(D[1]), True), "has_structured_voucher": F.lit(False)})
     got = {x["date"]: x for x in panel.transition_metrics(df, ["k"]).where("k = 'a'").collect()}
-    assert (got[D[1]]["price_change_percent"], got[D[1]]["sold_delta"], got[D[1]]["stock_status"]) == (-50.0, 4, "newly_sold_out")
-    assert (got[D[3]]["eligible"], got[D[3]]["price_change"], got[D[3]]["stock_status"]) == (False, None, "not_comparable_snapshot_gap")
-    assert (got[D[4]]["sold_delta_raw"], got[D[4]]["sold_delta"], got[D[4]]["sold_fell"]) == (-5, None, True)
+    assert (got[D[1]]["price_change_percent"], got[D[1]]["snapshot_sales_delta_clean"], got[D[1]]["stock_status"]) == (-50.0, 4, "newly_sold_out")
+    assert (got[D[3]]["transition_metric_eligible"], got[D[3]]["price_change"], got[D[3]]["stock_status"]) == (False, None, "not_comparable_snapshot_gap")
+    assert (got[D[4]]["history_sold_delta_raw"], got[D[4]]["snapshot_sales_delta_clean"], got[D[4]]["history_sold_decrease_flag"], got[D[4]]["price_change"]) == (-5, None, True, None)
     assert [tuple(x) for x in panel.gaps(df, ["k"]).collect()] == [("a", D[2], "internal")]
     assert {x["k"] for x in panel.balanced(df, ["k"]).collect()} == {"b"}
     legs = frame(spark, [("x", D[0], D[1], 113), ("x", D[1], D[2], -102), ("y", D[0], D[1], None), ("y", D[1], D[2], None), ("z", D[0], D[1], 4)], "k string, previous_date date, date date, delta int").withColumn("eligible", F.lit(True))
@@ -77,9 +81,9 @@ def test_transitions_gaps_balance_and_legs(spark):
 
 
 def test_snapshot_flags_keep_their_nulls(spark):
-    df = frame(spark, [(999999999.0, 5.0, 10.0, 2.0, None), (4.0, 5.0, None, 2.0, 1.0), (5.0, 5.0, None, None, 0.0), (None, None, None, None, None)], "price double, price_original double, discount_percent double, monthly_sold double, voucher_discount double")
-    got = [(x["revenue"], x["discount_amount"], x["discount_for_analysis"], x["has_discount"], x["has_voucher"]) for x in panel.snapshot_metrics(df).collect()]
-    assert got == [(None, None, 10.0, True, False), (8.0, 1.0, None, None, True), (None, 0.0, 0.0, None, False), (None, None, None, None, False)]
+    df = frame(spark, [(999999999.0, 5.0, 5.0, 10.0, 2.0, None, 0), (4.0, 5.0, 4.5, None, 2.0, 1.0, 7), (5.0, 5.0, None, None, None, 0.0, None), (None, None, None, None, None, None, None)], "price_num double, price_original_num double, price_before_promo_num double, discount_percent_num double, monthly_sold_value_num double, voucher_discount_num double, promotion_id_num int")
+    got = [(x["price_sentinel_flag"], x["estimated_recent_revenue"], x["discount_amount"], x["discount_percent_analysis"], x["pre_final_reduction_proxy"], x["has_displayed_discount"], x["has_structured_voucher"], x["promotion_id_clean"]) for x in panel.snapshot_metrics(df).collect()]
+    assert got == [(True, None, None, 10.0, 0.0, True, False, None), (False, 8.0, 1.0, None, 10.0, None, True, 7), (False, None, 0.0, 0.0, None, False, False, None), (False, None, None, None, None, None, False, None)]
 
 
 def test_dirty_values_become_issues(spark):
@@ -98,30 +102,60 @@ def test_raw_tree_has_provenance_and_mismatches(spark, tmp_path):
     folder = tmp_path / "country_code=id" / "dataset=products" / "shop_id=7"
     folder.mkdir(parents=True)
     (folder / "products.csv").write_text('shop_id,name\n7,"two\nlines"\n,x\n8,y\n')
-    df = raw.read_raw(spark, str(tmp_path), ["shop_id", "name"])
-    assert [(x["source_row"], x["path_country_code"], x["path_shop_id"]) for x in df.orderBy("source_row").collect()] == [(1, "id", "7"), (2, "id", "7"), (3, "id", "7")]
+    other = tmp_path / "country_code=vn" / "dataset=products" / "shop_id=9"
+    other.mkdir(parents=True)
+    (other / "products.csv").write_text('\ufeffname,extra,shop_id\nz,e,9\n')
+    df = raw.read_raw(spark, str(tmp_path), ["shop_id", "name", "lost"])
+    assert [(x["shop_id"], x["name"], x["source_row"], x["path_country_code"], x["path_shop_id"], x["lost"]) for x in df.orderBy("path_country_code", "source_row").collect()] == [
+        ("7", "two\nlines", 1, "id", "7", None), (None, "x", 2, "id", "7", None), ("8", "y", 3, "id", "7", None), ("9", "z", 1, "vn", "9", None),
+    ]
     filled, issues = quality.path_mismatches(df, {"shop_id": "path_shop_id"}, "products", "name")
-    assert [x["raw_value"] for x in issues.collect()] == ["8"] and {x["shop_id"] for x in filled.collect()} == {"7", "8"}
+    assert [x["raw_value"] for x in issues.collect()] == ["8"] and {x["shop_id"] for x in filled.collect()} == {"7", "8", "9"}
     assert raw.header_drift(["a", "b"], ["b", "c"]) == {"missing": ["c"], "unknown": ["a"]}
+    assert sorted(map(tuple, raw.drift(spark, str(tmp_path), {"products": ["shop_id", "name", "price"]}).collect())) == [("products", "extra", "unknown"), ("products", "price", "missing")]
+    stray = tmp_path / "country_code=vn" / "dataset=strange"
+    stray.mkdir()
+    (stray / "x.csv").write_text("a\n1\n")
+    assert [x["dataset"] for x in raw.unknown_datasets(spark, str(tmp_path)).collect()] == ["strange"]
 
 
 def test_versions_are_written_once_and_tampering_is_seen(spark, tmp_path):
-    df = frame(spark, [(1, "a"), (2, None)], "k int, v string")
-    path, new = raw.publish(df, str(tmp_path), "t")
-    assert new and raw.publish(df.orderBy(F.col("k").desc()), str(tmp_path), "t") == (path, False)
-    assert raw.published(spark, path).count() == 2
+    df, root = frame(spark, [(1, "a"), (2, None)], "k int, v string"), str(tmp_path)
+    path, new = versions.publish(df, root, "t")
+    assert new and versions.publish(df.orderBy(F.col("k").desc()), root, "t") == (path, False)
+    version = path.rpartition("version=")[2]
+    assert versions.versions(spark, root, "t") == [version] and versions.current(spark, root, "t") is None
+    versions.switch(spark, root, "t", version)
+    assert versions.published(spark, root, "t").count() == 2
+    with pytest.raises(r.ContractError, match="UNKNOWN_VERSION"):
+        versions.switch(spark, root, "t", "none")
     df.limit(1).write.mode("append").parquet(f"{path}/rows")
-    with pytest.raises(ValueError, match="changed"):
-        raw.published(spark, path)
+    with pytest.raises(r.ContractError, match="changed"):
+        versions.published(spark, root, "t")
+
+
+def test_digests_tell_tables_apart(spark):
+    a, b = frame(spark, [(1, None)], "x int, y int"), frame(spark, [(None, 1)], "x int, y int")
+    tables = [a, b, a.toDF("x", "z"), a.union(a), a.limit(0), a.withColumn("x", F.col("x").cast("long")), b.union(b).union(a)]
+    assert len({versions.content_digest(t) for t in tables}) == len(tables)
+    assert versions.content_digest(a.union(b)) == versions.content_digest(b.union(a))
 
 
 def test_cohorts_fall_back_and_segments_keep_their_order(spark):
     rows = [(k, "m", "big" if k < 25 else "small" if k < 30 else None, k % 9, float(k), float(k % 5) if k % 3 else None, float(100 - k)) for k in range(32)]
+    assert mart.cohorts(frame(spark, rows, "k int, market string, category string, d int, a double, b double, c double"), "market", "category").where("fallback and cohort_size <> 32").isEmpty()
     df = frame(spark, rows, "k int, market string, category string, days_since_activity int, monthly_sold double, sold_delta double, revenue double")
-    out = mart.scores(df, "market", "category")
+    out = mart.scores(df, "k", "market", "category")
     assert {x["k"] for x in out.where("fallback").collect()} == set(range(25, 32))
     assert out.withColumn("s", mart.segment()).where("s is null").isEmpty()
     assert out.where("score is null").isEmpty() and out.where("score < 0 or score > 100").isEmpty()
+    cases = {  # activity, momentum, value (percentiles), monthly_sold, sold_delta, score
+        "InsufficientData": [(0.9, 0.9, None, 1.0, 1.0, 1.0), (0.9, 0.9, 0.9, 1.0, 1.0, None)], "Dormant": [(0.39, 0.9, 0.9, 0.0, -1.0, 1.0), (0.1, 0.9, 0.9, None, None, 1.0)],
+        "Cooling": [(0.9, 0.9, 0.9, 1.0, -1.0, 1.0), (0.39, 0.39, 0.9, 1.0, None, 1.0)], "Star": [(0.6, 0.6, 1.0, 1.0, 0.0, 1.0)], "Rising": [(0.1, 0.6, 0.59, 1.0, None, 1.0)], "Steady": [(0.9, 0.5, 0.9, 1.0, 1.0, 1.0), (0.5, 0.7, 0.7, 1.0, 1.0, 1.0)],
+    }
+    flat = [(want, *row) for want, rows in cases.items() for row in rows]
+    judged = frame(spark, flat, "want string, activity double, momentum double, value double, monthly_sold double, sold_delta double, score double").withColumn("got", mart.segment())
+    assert judged.where("want <> got").isEmpty()
 
 
 def test_plans_refuse_what_the_pack_does_not_declare(spark):
