@@ -189,6 +189,8 @@ def test_ingest_is_whole_and_drift_is_seen(spark, tmp_path):
     target = str(tmp_path / "t")
     assert {x["name"] for x in raw.ingest(spark, str(source), target).collect()} == {"a/x.csv", "y.csv"}
     assert raw.drifted(spark, target).isEmpty()
+    (tmp_path / "t" / "files" / "y.csv").unlink()
+    (tmp_path / "t" / "files" / ".y.csv.crc").unlink(missing_ok=True)
     (tmp_path / "t" / "files" / "y.csv").write_text("k\n3\n")
     (tmp_path / "t" / "files" / "z.csv").write_text("new")
     assert sorted(map(tuple, raw.drifted(spark, target).collect())) == [("y.csv", "changed"), ("z.csv", "added")]
