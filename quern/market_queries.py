@@ -335,6 +335,16 @@ def mart_scorecard_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.invalid_scorecard(full_scorecard(spark, sf_dir), ["market"])
 
 
+@query(MARKET_MOVES_SQL + """, a AS (SELECT *, DATE '2024-01-25' AS d FROM snapshots WHERE date <= DATE '2024-01-25'), s AS (SELECT product_listing_key, any_value(country_code) AS country_code, any_value(catid_num) AS catid_num, arg_max(monthly_sold_value_num, date) AS monthly_sold, arg_max(estimated_recent_revenue, date) FILTER (estimated_recent_revenue IS NOT NULL) AS rev, arg_max(price_sentinel_flag, date) AS bad FROM a GROUP BY 1),
+t AS (SELECT product_listing_key, arg_max(snapshot_sales_delta_clean, date) FILTER (snapshot_sales_delta_clean IS NOT NULL) AS sold_delta, max(date) FILTER (snapshot_sales_delta_clean > 0) AS last_sale_date, max(date) AS date_transition FROM moved WHERE transition_metric_eligible AND date <= DATE '2024-01-25' GROUP BY 1)
+SELECT s.product_listing_key, country_code, catid_num, monthly_sold, sold_delta, sold_delta IS NULL AS transition_missing, bad AS price_sentinel_excluded, round(CASE WHEN NOT bad THEN rev END, 4) AS revenue, CAST(coalesce(DATE '2024-01-25' - last_sale_date, 31) AS INT) AS days_since_activity, date_transition FROM s LEFT JOIN t ON s.product_listing_key = t.product_listing_key""")
+def mart_latest_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = datetime.date(2024, 1, 25)
+    rows = mart.latest_listings(snapshots(spark, sf_dir), market_moves(spark, sf_dir), "product_listing_key", day)
+    names = ["product_listing_key", "country_code", "catid_num", "monthly_sold", "sold_delta", "transition_missing", "price_sentinel_excluded", "revenue", "days_since_activity", "date_transition"]
+    return rounded(rows.select(*names), "revenue")
+
+
 # --- ingest ----------------------------------------------------------------------------------------
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quern.functions.numbers import quintile
 from quern.operators.order import join_equal, quantiles, rank_percentiles, running_counts
-from quern.operators.relational import ContractError, best_of
+from quern.operators.relational import ContractError, best_of, last_known
 
 COHORT_LEAST = 20
 MOST_PAGE = 50
 FORMULA = "pam-1"
+#: Days of the window in which activity is looked for.
+WINDOW_DAYS = 30
 #: The columns that a scorecard has to have.
 SCORECARD = ["listing", "market", "shop_id", "activity", "momentum", "value", "score", "segment", "price_sentinel_excluded", "transition_missing", "formula_version"]
 WEIGHTS = {"activity": 0.3, "momentum": 0.4, "value": 0.3}
@@ -49,6 +51,46 @@ def scores(df: DataFrame, key: str, market: str, category: str, least: int = COH
     return made.withColumn("score", F.round(100 * total, 4)).drop("sold_p", "delta_p")
 
 
+def latest_listings(snapshots: DataFrame, transitions: DataFrame, key: str, as_of, date: str = "date", window_days: int = WINDOW_DAYS) -> DataFrame:
+    """A row per listing known at a day: each column's last value that is not null, with the last eligible transition's beside it.
+
+    Adds days_since_activity (since the last positive clean delta, or window_days + 1 if there was none),
+    price_sentinel_excluded, transition_missing, and revenue, which is void where the last price stands for
+    none. Columns of transitions that are in snapshots too get the ending _transition.
+    """
+    known = snapshots.where(F.col(date) <= F.lit(as_of))
+    last = last_known(known, [key], date, [c for c in known.columns if c != key])
+    legs = transitions.where(F.col("transition_metric_eligible") & (F.col(date) <= F.lit(as_of)))
+    leg = last_known(legs, [key], date, ["snapshot_sales_delta_clean", "price_change_percent", date])
+    leg = leg.withColumnsRenamed({c: f"{c}_transition" for c in leg.columns if c != key and c in last.columns})
+    out = last.join(leg, key, "left").join(last_sale_day(legs, key, "snapshot_sales_delta_clean", date), key, "left")
+    days = F.date_diff(F.lit(as_of).cast("date"), F.col("last_sale_date"))
+    return out.withColumns({
+        "days_since_activity": F.coalesce(days, F.lit(window_days + 1)),
+        "price_sentinel_excluded": F.coalesce("price_sentinel_flag", F.lit(False)),
+        "transition_missing": F.col("snapshot_sales_delta_clean").isNull(),
+        "monthly_sold": F.col("monthly_sold_value_num"),
+        "sold_delta": F.col("snapshot_sales_delta_clean"),
+        "revenue": F.when(~F.coalesce("price_sentinel_flag", F.lit(False)), F.col("estimated_recent_revenue")),
+    })
+
+
+def build_scorecard(snapshots: DataFrame, transitions: DataFrame, as_of, key: str = "product_listing_key", least: int = COHORT_LEAST) -> DataFrame:
+    """The scorecard of all listings known at a day, with segment and formula version."""
+    scored = scores(latest_listings(snapshots, transitions, key, as_of), key, "country_code", "catid_num", least)
+    return scored.withColumns({"segment": segment(), "formula_version": F.lit(FORMULA), "as_of_date": F.lit(as_of).cast("date")})
+
+
+def card(found: DataFrame, insight_id: str) -> DataFrame:
+    return found.where(F.col("insight_id") == insight_id).limit(1)
+
+
+def evidence_of(found: DataFrame, evidence: DataFrame, insight_id: str) -> DataFrame:
+    """The evidence that a card names (evidence_ids); what is not there is left out."""
+    ids = card(found, insight_id).select(F.explode("evidence_ids").alias("evidence_id"))
+    return evidence.join(F.broadcast(ids), "evidence_id", "left_semi")
+
+
 def segment() -> Column:
     """The first that fits of InsufficientData, Dormant, Cooling, Star, Rising, Steady.
 

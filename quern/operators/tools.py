@@ -17,7 +17,9 @@ PROFILE_WEIGHTS = (0.4, 0.3, 0.3)
 SIMILARITY_WEIGHTS = {"text_sim": 0.4, "category_overlap_depth": 0.25, "brand_match": 0.15, "price_distance": 0.1, "same_shelf_bonus": 0.1}
 LEXICAL, DENSE = 0.45, 0.55
 #: Queries of a stated set in a block that is sent to all tasks, and in all.
-QUERY_BLOCK, MOST_QUERIES = 1000, 1_000_000
+QUERY_BLOCK, MOST_QUERIES, MOST_MENTIONS = 1000, 1_000_000, 50_000
+#: Parts of the vectors that meet each block where there are several.
+SPREAD = 256
 
 
 def at_latest(df: DataFrame, date: str, *group: str) -> DataFrame:
@@ -62,6 +64,8 @@ def similar_items(items: DataFrame, queries: DataFrame, key: str, path: str, vec
     """
     a = queries.select(F.col(key).alias("query"), F.col(path).alias("__qp"), F.col(vector).alias("__qv"), F.get(path, 0).alias("__top"))
     b = items.select(F.col(key), F.col(path).alias("__p"), F.col(vector).alias("__v"), F.get(path, 0).alias("__top"))
+    if a.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        a = F.broadcast(a)  # then no level, however common, meets in one task
     pairs = b.join(a, "__top").where(F.col("query") != F.col(key))
     scored = pairs.select("query", key, shared_depth(F.col("__qp"), F.col("__p")).alias("depth"), F.round(cosine(F.col("__qv"), F.col("__v")), 6).alias("similarity"))
     return best_of(scored, ["query"], key, [F.col("depth").desc(), F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
@@ -95,10 +99,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     n = queries.count()
     if n > MOST_QUERIES:
         raise ContractError("QUERY_SET", f"{n} queries")
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")).withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(n // block + 1)))
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")).withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(n // block + 1)).cast("int"))
     blocks = asked.groupBy("__block").agg(F.collect_list(F.struct("query", "__q")).alias("__asked"))
-    dealt = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(n // block))).alias("__block"))
-    pairs = dealt.join(F.broadcast(blocks) if n <= block else blocks, "__block").select(key, vector, F.explode("__asked").alias("__a"))
+    if n <= block:
+        pairs = vectors.select(key, vector, F.lit(0).alias("__block")).join(F.broadcast(blocks), "__block")
+    else:  # each block goes to all of SPREAD parts of the vectors
+        parts = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int").alias("__part"), F.explode(F.sequence(F.lit(0), F.lit(n // block))).alias("__block"))
+        spread = blocks.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        pairs = parts.join(spread, ["__block", "__part"])
+    pairs = pairs.select(key, vector, F.explode("__asked").alias("__a"))
     scored = pairs.where(F.col("__a.query") != F.col(key)).select(F.col("__a.query").alias("query"), key, F.round(cosine(F.col(vector), F.col("__a.__q")), 6).alias("similarity"))
     return best_of(scored, ["query"], key, [F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
 
@@ -142,7 +151,7 @@ def resolve_entities(mentions: DataFrame, names: DataFrame, key: str, accept: fl
     asked = mentions.select("mention", F.trim("text").alias("text"), tokens(F.col("text")).alias("__mt"), *(["vector"] if dense else []))
     named = names.select(key, tokens(F.col("name")).alias("__nt"), *([F.col("vector").alias("__nv")] if dense else []))
     direct = asked.join(names.select(key, F.col(key).cast("string").alias("__id")), F.col("text") == F.col("__id")).select("mention", key, F.lit(1.0).alias("score"))
-    if (n := asked.count()) > MOST_QUERIES:
+    if (n := asked.count()) > MOST_MENTIONS:
         raise ContractError("QUERY_SET", f"{n} mentions")
     lists = asked.where(~F.col("text").rlike("^[0-9]+$")).agg(F.collect_list(F.struct("mention", "__mt", *(["vector"] if dense else []))).alias("__asked"))
     met = named.withColumn(ALL, F.lit(0)).join(F.broadcast(lists.withColumn(ALL, F.lit(0))), ALL).select(*named.columns, F.explode("__asked").alias("__a"))

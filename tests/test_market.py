@@ -145,6 +145,8 @@ def test_cards_keep_their_order_and_filters(spark):
     found = spark.createDataFrame(rows, "priority string, kind string, market string, category string, insight_id string")
     assert [x["insight_id"] for x in mart.cards(found).collect()] == ["3", "2", "4", "1"]
     assert [x["insight_id"] for x in mart.cards(found, market="vn", category="c", kind=None, priority="high").collect()] == ["2"]
+    named = found.withColumn("evidence_ids", F.array(F.concat(F.lit("e"), "insight_id"), F.lit("lost")))
+    assert [x["evidence_id"] for x in mart.evidence_of(named, spark.createDataFrame([("e1", 1), ("e2", 2)], "evidence_id string, v int"), "2").collect()] == ["e2"]
     score = spark.createDataFrame([("a", "m")], "listing string, market string")
     assert [x["code"] for x in mart.invalid_scorecard(score, ["listing"]).collect()] == ["SCHEMA_INVALID"]
     assert mart.price_move_points(spark.createDataFrame([("a", -20.0, 3)], "k string, price_change_percent double, sold_delta int"), "k").columns == ["listing_key", "x", "y"]
@@ -242,6 +244,23 @@ def test_exports_of_another_shape_are_refused(spark):
         adapter.brand_names(brands).collect()
 
 
+def test_nearest_in_several_blocks(spark):
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(4)]) for k in range(60)], "k int, v array<double>")
+    one, many = (sorted(map(tuple, tools.nearest(vectors, vectors.where("k % 3 = 0"), "k", "v", 3, block).collect())) for block in (1000, 4))
+    assert one == many and len(one) == 60
+
+
+def test_scorecards_are_built_whole(spark):
+    rows = [(f"l{k}", "vn", k % 3, D[d], float(k + d), float(k * d), k == 1) for k in range(30) for d in range(3)]
+    snapshots = spark.createDataFrame(rows, "product_listing_key string, country_code string, catid_num int, date date, monthly_sold_value_num double, estimated_recent_revenue double, price_sentinel_flag boolean")
+    moves = spark.createDataFrame([(f"l{k}", D[d], True, float(k - 5), 1.0) for k in range(29) for d in range(3)], "product_listing_key string, date date, transition_metric_eligible boolean, snapshot_sales_delta_clean double, price_change_percent double")
+    out = {x["product_listing_key"]: x for x in mart.build_scorecard(snapshots, moves, D[2]).collect()}
+    assert len(out) == 30 and out["l1"]["segment"] == "InsufficientData" and out["l1"]["revenue"] is None
+    assert (out["l29"]["transition_missing"], out["l29"]["days_since_activity"], out["l9"]["days_since_activity"]) == (True, 31, 0)
+    assert out["l2"]["segment"] in ("Cooling", "Dormant") and all(x["fallback"] and x["cohort_size"] == 30 for x in out.values())
+
+
 def test_entities_and_scopes(spark):
     names = spark.createDataFrame([(1, "red apple cake"), (2, "red apple pie"), (3, "blue cup"), (12, "twelve")], "k int, name string")
     asked = spark.createDataFrame([(0, "blue cup"), (1, "red apple"), (2, "12"), (3, "99"), (4, " "), (5, "nothing here")], "mention int, text string")
