@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import evidence, mart, panel, quality, tools
 from quern.operators import relational as r
-from quern.plans import dates, templates
+from quern.plans import dates, metrics, templates
 from quern.plans.market import SHOP_STATISTICS, market_pack
 from quern.plans.model import Request, absent_literals, answer, boundary_report, completed, excluded_rows, extreme_row
 from quern.queries import SEGMENT_SQL, money, moves, query, scored_listings, table
@@ -249,6 +249,30 @@ def as_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.as_of(products(spark, sf_dir), "date", datetime.date(2024, 1, 10)).select("country_code", "shop_id", "item_id", "date")
 
 
+GROUP_METRICS = ["discounted_listing_count", "discounted_listing_rate", "median_monthly_sold", "median_estimated_recent_revenue", "product_count", "shop_count", "observed_day_count", "brand_count", "category_count", "descriptive_gap_vs_baseline", "voucher_rate", "median_discount_ratio", "descriptive_gap_median_sold"]
+
+
+@query(MARKET_SQL + """SELECT country_code, count(DISTINCT CASE WHEN has_displayed_discount THEN product_listing_key END) AS discounted_listing_count, round(100.0 * count(DISTINCT CASE WHEN has_displayed_discount THEN product_listing_key END) / count(DISTINCT product_listing_key), 4) AS discounted_listing_rate, CAST(median(monthly_sold_value_num) AS DOUBLE) AS median_monthly_sold, round(median(estimated_recent_revenue), 4) AS median_estimated_recent_revenue,
+count(DISTINCT product_listing_key) AS product_count, count(DISTINCT shop_id) AS shop_count, count(DISTINCT date) AS observed_day_count, count(DISTINCT brand) AS brand_count, count(DISTINCT catid_num) AS category_count, round(median(estimated_recent_revenue) FILTER (has_structured_voucher) - median(estimated_recent_revenue) FILTER (NOT has_structured_voucher), 4) AS descriptive_gap_vs_baseline,
+round(avg(CAST(has_structured_voucher AS INT)), 4) AS voucher_rate, round(median(voucher_discount_num / price_num) FILTER (has_structured_voucher AND p > 0), 6) AS median_discount_ratio, CAST(median(monthly_sold_value_num) FILTER (has_structured_voucher) - median(monthly_sold_value_num) FILTER (NOT has_structured_voucher) AS DOUBLE) AS descriptive_gap_median_sold FROM snapshots GROUP BY 1""")
+def metrics_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.derived(snapshots(spark, sf_dir), ["has_promo"])
+    out = metrics.grouped(rows, ["country_code"], GROUP_METRICS)
+    return rounded(rounded(out, "discounted_listing_rate", "median_estimated_recent_revenue", "descriptive_gap_vs_baseline", "voucher_rate"), "median_discount_ratio", places=6).withColumns({c: F.col(c).cast("double") for c in ("median_monthly_sold", "descriptive_gap_median_sold")})
+
+
+@query(MARKET_SQL + "SELECT product_listing_key, date, round(p * monthly_sold_value_num, 4) AS estimated_recent_revenue, voucher_discount_num IS NOT NULL AND voucher_discount_num > 0 AS has_structured_voucher, vouchers_count_num > 0 AS has_voucher_label, CASE WHEN discount_percent_num = 50 THEN '(40,100]' END AS discount_bucket FROM snapshots")
+def metrics_of_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["estimated_recent_revenue", "has_structured_voucher", "has_voucher_label", "discount_bucket"]
+    return rounded(metrics.derived(products(spark, sf_dir), names).select("product_listing_key", "date", *names), "estimated_recent_revenue")
+
+
+@query(MARKET_MOVES_SQL + "SELECT product_listing_key, date, snapshot_sales_delta_clean AS history_sold_delta_clean, price_change_percent AS price_change_pct, new_rating_count AS rating_count_delta, like_delta AS liked_delta, CASE WHEN transition_metric_eligible THEN previous_has_structured_voucher || '->' || has_structured_voucher END AS voucher_state_transition FROM moved")
+def metrics_of_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["history_sold_delta_clean", "price_change_pct", "rating_count_delta", "liked_delta", "voucher_state_transition"]
+    return metrics.derived(market_moves(spark, sf_dir), names).select("product_listing_key", "date", *names)
+
+
 # --- steps, evidence and cards ---------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import evidence, mart, order, panel, tools
 from quern.operators import relational as r
-from quern.plans import dates, model
+from quern.plans import dates, metrics, model
 from quern.plans.market import MEASURES, market_pack
 from quern.plans.model import Request
 from quern.sources import adapter, files, raw, tables, versions
@@ -268,3 +268,13 @@ def test_entities_and_scopes(spark):
     assert got == {0: (3, "resolved"), 1: (1, "ambiguous_broad"), 2: (12, "resolved"), 3: (None, "invalid_extraction"), 4: (None, "not_found"), 5: (None, "invalid_extraction")}
     with pytest.raises(r.ContractError, match="NOT_MATERIALISED"):
         panel.passed_through(names, ["k"], ["delta"])
+
+
+def test_the_metric_registry(spark):
+    assert len(metrics.METRICS) == 36 and not any(n in metrics.ancestors(n) for n in metrics.METRICS)
+    assert metrics.ancestors("voucher_profile_score") == ["descriptive_gap_median_sold", "has_structured_voucher", "median_discount_ratio", "voucher_rate"]
+    assert metrics.descendants("has_promo") == ["discounted_listing_count", "discounted_listing_rate"] and metrics.caveats_of("similarity_score")
+    df = spark.createDataFrame([(1,)], "x int")
+    for call, code in ((lambda: metrics.derived(df, ["voucher_rate"]), "NOT_A_ROW_METRIC"), (lambda: metrics.derived(df, ["rating_change"]), "NOT_MATERIALISED"), (lambda: metrics.grouped(df, ["x"], ["rating_change"]), "NOT_A_GROUP_METRIC")):
+        with pytest.raises(r.ContractError, match=code):
+            call()
