@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch that a worker takes at a time. Spark bounds the batches that it sends by
-#: bytes (spark.sql.execution.arrow.maxBytesPerBatch); a worker's own copies are bounded by these.
+#: Rows and bytes of an Arrow batch that a worker takes at a time.
 SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+#: Spark's bound on the bytes of a batch, its default, and ours.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that whole texts travel in by bytes, as buffers of Spark's default size take memory outside of the heap.
+
+    A session that has a bound of its own keeps it. The setting bounds sizes only: no result depends on it.
+    """
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most SLICE_ROWS rows and, but for a longer single row, about SLICE_BYTES."""
     rows = min(SLICE_ROWS, max(1, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
@@ -70,6 +80,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for batch in batches:
             yield from map(fn, slices(batch))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices, unused, written
+from quern.llm.common import slices, small_batches, unused, written
 
 Q, EDITS = 12, 0.06
 BLOCK_CHARS = 2_000_000
@@ -312,6 +312,7 @@ def scan(shared, texts: list[str]) -> Iterator[tuple]:
 
 def over_blocks(docs: DataFrame, benchmark: DataFrame, made: Callable, columns: list, schema) -> Iterator[DataFrame]:
     scanned = unused(docs, "scanned")
+    small_batches(docs.sparkSession)
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices, written
+from quern.llm.common import slices, small_batches, written
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -166,6 +166,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(row, row + len(out)))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
             row += len(out)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 

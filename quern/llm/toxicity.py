@@ -2,7 +2,7 @@
 
 Features are the distinct hashed unigrams, bigrams and one-word skip-grams of the whole text. Training
 takes at most `TRAIN_ROWS` labelled rows (those with the smallest hash of their id) and `TRAIN_BYTES` of their
-texts, whose features meet in one task that fits with per-coordinate rates and L1 sparsity; the weights that stay above zero are broadcast, at most
+texts in one task, which fits with per-coordinate rates and L1 sparsity; the weights that stay above zero are broadcast, at most
 2 ** `FEATURE_BITS` of them.
 
 Defined results: null and empty texts get the score of the bias alone; without a labelled row of each
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, slices, unused
+from quern.llm.common import map_batches, slices, small_batches, unused
 
 FEATURE_BITS = 20
 #: Bounds of the sample that a model is fitted on: labelled rows, by the hash of their id; bytes of their texts
@@ -93,25 +93,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[in
     chosen = docs.select("doc_id", "text").join(F.broadcast(light), (F.col("doc_id") == F.col("i")) & (key == F.col("h")))
     chosen = chosen.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in (part for whole in batches for part in slices(whole)):
-            found = [np.unique(features(t or "", hashes)).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), pa.array(found, pa.binary())], ["toxic", "place", "found"])
-
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, marks = [], []
-        for batch in batches:
-            examples += [np.frombuffer(found, np.int32) for found in batch.column("found").to_pylist()]
+        hashes, examples, marks = WordHashes(), [], []
+        for batch in (part for whole in batches for part in slices(whole)):
+            examples += [np.unique(features(t or "", hashes)) for t in batch.column("text").to_pylist()]
             marks += batch.column("toxic").to_pylist()
         y = np.array(marks, float)
         if 0 < y.sum() < len(y):
             at, w, bias = ftrl(examples, y)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int64)), pa.array(np.r_[bias, w])], ["feature", "weight"])
 
-    numbered = chosen.select(F.col("toxic").cast("int").alias("toxic"), F.struct(F.xxhash64("doc_id").alias("a"), F.col("doc_id").cast("long").alias("b"), F.col("h").alias("c")).alias("place"), "text")
-    found = numbered.mapInArrow(featured, "toxic int, place struct<a:long,b:long,c:long>, found binary")
-    rows = found.repartition(1).sortWithinPartitions("place").select("toxic", "found")
+    small_batches(docs.sparkSession)
+    order = [F.xxhash64("doc_id").alias("first"), "doc_id", "h"]
+    rows = chosen.select(*order, F.col("toxic").cast("int").alias("toxic"), "text").repartition(1).sortWithinPartitions("first", "doc_id", "h").select("toxic", "text")
     return {r["feature"]: r["weight"] for r in rows.mapInArrow(fit, "feature long, weight double").collect()}
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import left_join_by_parts, new_path, slices, utf8, written
+from quern.llm.common import left_join_by_parts, new_path, slices, small_batches, utf8, written
 from quern.llm.files import opened
 
 LEAST = 1000
@@ -125,6 +125,7 @@ def write_monolithic(pages: DataFrame, path: str) -> DataFrame:
             out.write(zipper.flush())
             out.close()
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string, number long, page_id long, digest string, size long")
     return written(rows, "warc-records")
 
