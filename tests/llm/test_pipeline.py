@@ -75,6 +75,44 @@ def test_near_dedup_links_what_all_pairs_link(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {k for k in ids if find(k) == k}
 
 
+def test_shards_link_what_all_pairs_link():
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(150):  # a large group around one text, with up to ten words changed in a copy
+        copy = list(base)
+        for _ in range(rng.randrange(11)):
+            copy[rng.randrange(60)] = f"own{k}x{rng.randrange(99)}" if k % 3 else f"few{rng.randrange(4)}"
+        texts.append(" ".join(copy))
+    sets = [similarity.shingles(t.encode()) for t in dict.fromkeys(texts)]
+    got = similarity.shard_links(list(range(len(sets))), [similarity.fingerprint(s) for s in sets], [s.view("int64") for s in sets])
+    assert all(similarity.similarity(sets[a], sets[b]) >= similarity.LEAST for a, b in got) and len(got) < len(sets)
+
+    def components(pairs):
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(k) for k in range(len(sets))]
+
+    all_pairs = [(a, b) for a in range(len(sets)) for b in range(a) if similarity.similarity(sets[a], sets[b]) >= similarity.LEAST]
+    assert components(got) == components(all_pairs) and len(set(components(got))) > 3
+
+
+def test_large_shards_are_cut_without_loss(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(10_000 + k, " ".join([*(f"w{n}" for n in range(80)), f"end{k}"])) for k in range(40)], "doc_id long, text string")
+    both = docs.union(extra)
+    whole = {r["doc_id"] for r in similarity.deduplicated(both).collect()}
+    monkeypatch.setattr(similarity, "LIMIT", 300)
+    assert {r["doc_id"] for r in similarity.deduplicated(both).collect()} == whole and sum(k >= 10_000 for k in whole) == 1
+
+
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and not ORACLE_SQL
