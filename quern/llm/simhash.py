@@ -161,18 +161,19 @@ def tree_links(tree: BKTree, probes: range, radius: int) -> list[tuple[int, int]
     return [(tree.values[x], tree.values[r]) for x in list(root) if (r := find(x)) != x]
 
 
-def shard_trees(members: DataFrame, shards: int) -> DataFrame:
-    """(tree, n) of each shard of members (path, key, fp) with two fingerprints or more; written."""
+def shard_trees(members: DataFrame, shards: int, least: int = 2) -> DataFrame:
+    """(path, key, tree, n) of each shard of members (path, key, fp) with `least` fingerprints or more; written."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["path", "key", "fp"], kind="stable")
         path, key, fp = (pdf[c].to_numpy() for c in ("path", "key", "fp"))
         edges = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1]), True])
-        spans = [(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi - lo > 1]
-        return pd.DataFrame({"tree": [tree_of([int(v) & MASK for v in fp[lo:hi]]).packed() for lo, hi in spans], "n": [int(hi - lo) for lo, hi in spans]}).astype({"n": "int64"})
+        spans = [(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi - lo >= least]
+        trees = [tree_of([int(v) & MASK for v in fp[lo:hi]]).packed() for lo, hi in spans]
+        return pd.DataFrame({"path": [path[lo] for lo, _ in spans], "key": [key[lo] for lo, _ in spans], "tree": trees, "n": [hi - lo for lo, hi in spans]}).astype({"path": "int64", "key": "int64", "n": "int64"})
 
     by_shard = members.withColumn("shard", F.pmod(F.xxhash64("path", "key"), F.lit(shards))).groupBy("shard")
-    return written(by_shard.applyInPandas(build, "tree binary, n long"), "trees")
+    return written(by_shard.applyInPandas(build, "path long, key long, tree binary, n long"), "trees")
 
 
 def searched(trees: DataFrame, radius: int) -> DataFrame:

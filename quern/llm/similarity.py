@@ -4,14 +4,15 @@ Two documents are linked when the sets of their 5-word shingles (words between A
 lower-cased, XXH64 with seed 42) have a Jaccard similarity of `LEAST` or more. At 0.8 their SimHash
 fingerprints differ in some 10 of 64 bits, which is too many for shards of agreeing bits. So a shard is
 here the set of documents that agree on one of `BANDS` bands of `ROWS` min-hashes, which a pair at 0.8 does
-with a chance of 0.998. Within a shard only fingerprints within `RADIUS` bits are candidates, found by
-a BK-tree, and each pair of candidates is verified on its shingle sets before it links.
+with a chance of 0.998. As in operator 9, each shard's BK-tree is built by a task, written to the shared
+folder and sent whole to every task that searches fingerprints in it. Only fingerprints within `RADIUS`
+bits are candidates, and each pair of candidates is verified on its shingle sets before it links.
 
 Documents of equal shingle sets are one node, and a task that holds a shard holds the sets of its nodes.
 Two sets at `LEAST` share one of their rarest shingles (the prefix filter: one in five and one more of each,
 by their number in the shard), so only such candidates are verified, those nearest to the shard's middle
 first, and none that a chain of links has joined already. A shard gives links, never pairs. A shard above
-`LIMIT` shingles is cut into parts, of which every two meet in a task.
+`LIMIT` shingles is cut into parts with a tree each, in which its own and all later parts are searched.
 
 Defined results: null and empty texts and texts of white space are equal to one another; a text of fewer
 words than a shingle has is one shingle; repeated rows and null ids take part; an empty table gives an
@@ -101,49 +102,56 @@ def prefix_index(sets: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray,
     return rare, np.searchsorted(flat[by], np.arange(len(times) + 1)), owner[by]
 
 
-def shard_links(nodes: list[int], prints: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of similar nodes of one shard whose chains connect all that are similar in it."""
+def shard_links(nodes: list[int], prints: list[int], sets: list[np.ndarray], tree: simhash.BKTree | None = None, later: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs of similar nodes of one shard whose chains connect all that are similar in it.
+
+    tree holds the fingerprints of the shard, and is made where none is given. Of a shard in parts, later says
+    which nodes are of the later part: only these are searched for, among the others, whose tree it is then.
+    """
     ones = np.array([[v >> b & 1 for b in range(simhash.BITS)] for v in prints]).sum(axis=0)
     middle = sum(1 << b for b in range(simhash.BITS) if 2 * ones[b] > len(prints))
+    later = later or [False] * len(nodes)
+    apart = any(later)
     # From the middle outwards, so that the first of a component are those that most others are similar to.
-    order = sorted(range(len(nodes)), key=lambda k: ((prints[k] ^ middle).bit_count(), nodes[k]))
-    nodes, prints, sets = ([x[k] for k in order] for x in (nodes, prints, sets))
+    order = sorted(range(len(nodes)), key=lambda k: (later[k], (prints[k] ^ middle).bit_count(), nodes[k]))
+    nodes, prints, sets, later = ([x[k] for k in order] for x in (nodes, prints, sets, later))
     rare, edges, owners = prefix_index(sets)
-    sizes, label = np.array([len(s) for s in sets]), np.arange(len(nodes))
-    tree, holders, place, out = simhash.BKTree(), [], {}, []
+    sizes, label, out = np.array([len(s) for s in sets]), np.arange(len(nodes)), []
+    tree = tree or simhash.tree_of(list(dict.fromkeys(prints)))
+    place, holders = {v: k for k, v in enumerate(tree.values)}, [[] for _ in tree.values]
     for at, value in enumerate(prints):
-        near = np.zeros(len(nodes), bool)
-        near[[k for n in tree.near(value, RADIUS) for k in holders[n]]] = True
-        shares = np.zeros(len(nodes), bool)
-        for t in rare[at].tolist():
-            shares[owners[edges[t] : edges[t + 1]]] = True
-        fits = np.minimum(sizes, sizes[at]) >= LEAST * np.maximum(sizes, sizes[at]) - 1e-9
-        left = np.flatnonzero(near & shares & fits)
-        while len(left):
-            other, left = left[0], left[1:]
-            if similarity(sets[at], sets[other]) >= LEAST:
-                out.append((nodes[at], nodes[other]))
-                label[label == label[at]] = label[other]
-                left = left[label[left] != label[at]]
-        if value not in place:
-            place[value] = tree.add(value)
-            holders.append([])
-        holders[place[value]].append(at)
+        if later[at] or not apart:
+            near = np.zeros(len(nodes), bool)
+            near[[k for n in tree.near(value, RADIUS) for k in holders[n]]] = True
+            shares = np.zeros(len(nodes), bool)
+            for t in rare[at].tolist():
+                shares[owners[edges[t] : edges[t + 1]]] = True
+            fits = np.minimum(sizes, sizes[at]) >= LEAST * np.maximum(sizes, sizes[at]) - 1e-9
+            left = np.flatnonzero(near & shares & fits)
+            while len(left):
+                other, left = left[0], left[1:]
+                if similarity(sets[at], sets[other]) >= LEAST:
+                    out.append((nodes[at], nodes[other]))
+                    label[label == label[at]] = label[other]
+                    left = left[label[left] != label[at]]
+        if not later[at]:
+            holders[place[value]].append(at)
     return out
 
 
-def linked(members: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) of nodes from members (bucket, i, j, node, fp, text), a shard being a bucket's i and j."""
+def linked(members: DataFrame, trees: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) of nodes from members (bucket, i, j, own, node, fp, text) by the trees (bucket, i, j, tree) they are searched in."""
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, rows in pdf.groupby(["bucket", "i", "j"], sort=False):
-            if len(rows) > 1:
-                out += shard_links(rows["node"].tolist(), [int(v) & simhash.MASK for v in rows["fp"]], [shingles(t.encode()) for t in rows["text"]])
+    def search(pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        out, tree = [], {(x.bucket, x.i, x.j): x.tree for x in sent.itertuples()}
+        for shard, rows in pdf.groupby(["bucket", "i", "j"], sort=False):
+            if len(rows) > 1 and shard in tree:
+                later = (rows["own"] > shard[1]).tolist()
+                out += shard_links(rows["node"].tolist(), [int(v) & simhash.MASK for v in rows["fp"]], [shingles(t.encode()) for t in rows["text"]], simhash.BKTree.unpacked(tree[shard]), later)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(search, "a long, b long")
+    part = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(parts))
+    return members.withColumn("part", part).groupBy("part").cogroup(trees.withColumn("part", part).groupBy("part")).applyInPandas(search, "a long, b long")
 
 
 def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -156,17 +164,21 @@ def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     # Near copies agree on several bands; of the buckets with the same nodes one is enough.
     shared = written(shared.groupBy("n", "total", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "total"), "buckets")
     members = written(placed.join(shared, "bucket"), "members")
-    # A task sees one part of a bucket, or two of a large one.
+    # A task sees one part of a bucket, or two of a large one, and the tree of the first.
     last = F.when(F.col("total") <= LIMIT, F.lit(0)).otherwise(F.ceil(F.col("total") * 2 / LIMIT).cast("int") - 1)
     own = F.pmod(F.xxhash64("node"), last + 1).cast("int")
-    pairs = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    pairs = pairs.select("node", "fp", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = members.withColumn("own", own)
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pairs = pairs.select("node", "fp", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // 2_000 + 1)
+    shards = dealt.select(F.col("bucket").alias("path"), F.col("own").cast("long").alias("key"), "fp").distinct()
+    trees = simhash.shard_trees(shards, parts, 1).select(F.col("path").alias("bucket"), F.col("key").cast("int").alias("i"), "tree")
+    sent = trees.join(shared, "bucket").select("bucket", "i", F.explode(F.sequence("i", last)).alias("j"), "tree")
     # One text of each node that is in a shard, copies being put together before they meet.
     wanted = members.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
     texts = docs.groupBy(F.xxhash64(text).alias("text_hash")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("text")).join(wanted, "text_hash").select("node", "text")
     with_texts = pairs.join(texts, "node")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // 2_000 + 1)
-    found = simhash.components(written(linked(with_texts, parts), "links").distinct())
+    found = simhash.components(written(linked(with_texts, sent, parts), "links").distinct())
     roots = nodes.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return left_join_by_parts(rows.select("doc_id", "text_hash", "node"), roots, ["node"], "n", total).select("doc_id", "text_hash", "root")

@@ -113,6 +113,22 @@ def test_large_shards_are_cut_without_loss(spark, monkeypatch):
     assert {r["doc_id"] for r in similarity.deduplicated(both).collect()} == whole and sum(k >= 10_000 for k in whole) == 1
 
 
+def test_shard_trees_are_sent_to_the_tasks_that_search_them(spark):
+    base = [f"b{k}" for k in range(120)]
+    texts = [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(5, 65, 6)]
+    sets = [similarity.shingles(t.encode()) for t in texts]
+    prints = [similarity.fingerprint(s) for s in sets]
+    rows = [(7, 0, j, k % 2, k, p - (1 << 64) if p >> 63 else p, t) for k, (p, t) in enumerate(zip(prints, texts, strict=True)) for j in (0, 1) if j or not k % 2]
+    members = spark.createDataFrame(rows, "bucket long, i int, j int, own int, node long, fp long, text string")
+    first = bytearray(simhash.tree_of(list(dict.fromkeys(prints[::2]))).packed())
+    sent = spark.createDataFrame([(7, 0, j, first) for j in (0, 1)], "bucket long, i int, j int, tree binary")
+    found = similarity.linked(members, sent, 3).collect()
+    assert {x for pair in found for x in pair} == set(range(len(texts))) and any((a - b) % 2 for a, b in found)
+    assert not any(a % 2 and b % 2 for a, b in found)  # the tree is that of the first part
+    assert similarity.linked(members, sent.where("j = 0"), 3).where("a % 2 = 1 or b % 2 = 1").isEmpty()
+    assert similarity.linked(members, sent.limit(0), 3).isEmpty()
+
+
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and not ORACLE_SQL
