@@ -11,6 +11,7 @@ from quern.functions.numbers import cosine, shared_depth
 from quern.functions.text import all_nines, jaccard, tokens
 from quern.operators.order import ALL, join_equal, quantiles, scaled
 from quern.operators.relational import ContractError, best_of
+from quern.operators.vectors import cosine_candidates
 
 PROFILE_WEIGHTS = (0.4, 0.3, 0.3)
 #: Weights of the parts of a pair's similarity, and of words and cosine in a resolved entity.
@@ -18,8 +19,6 @@ SIMILARITY_WEIGHTS = {"text_sim": 0.4, "category_overlap_depth": 0.25, "brand_ma
 LEXICAL, DENSE = 0.45, 0.55
 #: Queries of a stated set in a block that is sent to all tasks, and in all.
 QUERY_BLOCK, MOST_QUERIES, MOST_MENTIONS = 1000, 1_000_000, 50_000
-#: Parts of the vectors that meet each block where there are several.
-SPREAD = 256
 
 
 def at_latest(df: DataFrame, date: str, *group: str) -> DataFrame:
@@ -93,22 +92,14 @@ def similarity_parts(pairs: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """The k vectors most like each query, by cosine. queries: a stated set, met by all vectors in blocks of a bounded size.
 
-    A block of queries travels to every task of the vectors; how many there are is counted first, and more
-    than `MOST_QUERIES` are refused, as their pairs with all vectors would not be a stated set's any more.
+    Some blocks of queries at a time travel to every task of the vectors, where chunks meet them as matrices; how
+    many queries there are is counted first, and more than `MOST_QUERIES` are refused, as their pairs with all vectors would not be a stated set's any more.
     """
     n = queries.count()
     if n > MOST_QUERIES:
         raise ContractError("QUERY_SET", f"{n} queries")
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")).withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(n // block + 1)).cast("int"))
-    blocks = asked.groupBy("__block").agg(F.collect_list(F.struct("query", "__q")).alias("__asked"))
-    if n <= block:
-        pairs = vectors.select(key, vector, F.lit(0).alias("__block")).join(F.broadcast(blocks), "__block")
-    else:  # each block goes to all of SPREAD parts of the vectors
-        parts = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int").alias("__part"), F.explode(F.sequence(F.lit(0), F.lit(n // block))).alias("__block"))
-        spread = blocks.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-        pairs = parts.join(spread, ["__block", "__part"])
-    pairs = pairs.select(key, vector, F.explode("__asked").alias("__a"))
-    scored = pairs.where(F.col("__a.query") != F.col(key)).select(F.col("__a.query").alias("query"), key, F.round(cosine(F.col(vector), F.col("__a.__q")), 6).alias("similarity"))
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n // block + 1)).cast("int"))
+    scored = cosine_candidates(vectors, asked, key, vector, k, n // block + 1).withColumn("similarity", F.round("similarity", 6))
     return best_of(scored, ["query"], key, [F.col("similarity").desc_nulls_last(), F.col(key).asc()], k)
 
 

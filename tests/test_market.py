@@ -8,9 +8,10 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import numbers, text
 from quern.operators import evidence, mart, order, panel, tools
 from quern.operators import relational as r
+from quern.operators import vectors as vectors_of
 from quern.plans import dates, metrics, model
 from quern.plans.market import MEASURES, market_pack
 from quern.plans.model import Request
@@ -251,6 +252,21 @@ def test_nearest_in_several_blocks(spark):
     assert one == many and len(one) == 60
 
 
+def test_nearest_is_the_expression_without_all_its_pairs(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for k in range(250)] + [(k, [rng.random() for _ in range(3)]) for k in range(250, 400)] + [(k, [1.0, 2.0, 3.0]) for k in range(400, 700)]
+    rows += [(700, None), (701, [0.0, 0.0, 0.0]), (702, [1.0, None, 1.0]), (703, [1.0]), (704, []), (705, [1e200, 1.0, 1.0]), (706, [float("nan"), 1.0, 1.0]), (400, [1.0, 2.0, 3.0]), (None, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "k long, v array<double>")
+    queries = vectors.where("k % 20 = 0 or k > 698")
+    pairs = queries.select(F.col("k").alias("query"), F.col("v").alias("q")).crossJoin(vectors).where("query <> k")
+    scored = pairs.select("query", "k", F.round(numbers.cosine(F.col("v"), F.col("q")), 6).alias("similarity"))
+    wanted = r.best_of(scored, ["query"], "k", [F.col("similarity").desc_nulls_last(), F.col("k").asc()], 4)
+    found = tools.nearest(vectors, queries, "k", "v", 4)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect()))
+    kept = vectors_of.cosine_candidates(vectors, queries.selectExpr("k as query", "v as q", "0 as block"), "k", "v", 4, 1)
+    assert kept.count() < pairs.count() / 4
+
+
 def test_scorecards_are_built_whole(spark):
     rows = [(f"l{k}", "vn", k % 3, D[d], float(k + d), float(k * d), k == 1) for k in range(30) for d in range(3)]
     snapshots = spark.createDataFrame(rows, "product_listing_key string, country_code string, catid_num int, date date, monthly_sold_value_num double, estimated_recent_revenue double, price_sentinel_flag boolean")
