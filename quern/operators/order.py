@@ -1,6 +1,6 @@
-"""Order statistics that hold no group whole: counts per value, running counts over ranges of values, and what follows.
+"""Order statistics that hold no large group whole: counts per value, running counts over ranges of values, and what follows.
 
-Rows are counted per group and value first. The values of a group are then cut into at most `RANGES` ranges,
+Quantiles of groups of at most `GATHER` values are read from the sorted values of each. For all else rows are counted per group and value first. The values of a group are then cut into at most `RANGES` ranges,
 whose sums give each range its offset, and running counts are windows over one range only. So a group that
 holds most of all rows is neither sorted nor kept in one task, however many different values it has.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
+#: Values of a group that are sorted in one place.
+GATHER = 50_000
 #: Stands for the group of all rows.
 ALL = "__all"
 
@@ -42,14 +44,37 @@ def running_counts(df: DataFrame, group: list[str], value: str, ranges: int = RA
 
 def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float], nearest: bool = False) -> DataFrame:
     """Exact quantiles of each group by name, interpolated, or (nearest) the value at the nearest rank; nulls are left out."""
-    counted = running_counts(df, group, value)
-    made = {}
-    for name, p in wanted.items():
-        rank = F.greatest(F.ceil(p * F.col("total")) - 1, F.lit(0)).cast("double") if nearest else (F.col("total") - 1) * F.lit(float(p))
-        for end, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            made[f"__{end}_{name}"] = F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("n")), F.col(value)))
-        made[f"__part_{name}"] = F.max(rank - F.floor(rank))
-    ends = counted.groupBy(*group).agg(*(c.alias(n) for n, c in made.items()))
+
+    def rank(name: str, total: Column) -> Column:
+        return F.greatest(F.ceil(wanted[name] * total) - 1, F.lit(0)).cast("double") if nearest else (total - 1) * F.lit(float(wanted[name]))
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("__sorted"))
+        made = {}
+        for name in wanted:
+            at = rank(name, F.size("__sorted").cast("long"))
+            made |= {f"__{end}_{name}": F.get("__sorted", f(at).cast("int")) for end, f in (("lo", F.floor), ("hi", F.ceil))} | {f"__part_{name}": at - F.floor(at)}
+        return lists.select(*group, *(c.alias(n) for n, c in made.items()))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        made = {}
+        for name in wanted:
+            at = rank(name, F.col("total"))
+            for end, f in (("lo", F.floor), ("hi", F.ceil)):
+                made[f"__{end}_{name}"] = F.max(F.when((F.col("before") <= f(at)) & (f(at) < F.col("before") + F.col("n")), F.col(value)))
+            made[f"__part_{name}"] = F.max(at - F.floor(at))
+        return running_counts(rows, group, value).groupBy(*group).agg(*(c.alias(n) for n, c in made.items()))
+
+    if not group:
+        ends = counted(df)
+    else:
+        rows = df.where(F.col(value).isNotNull()).select(*group, value)
+        large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > GATHER).drop("__size")
+        if large.isEmpty():
+            ends = gathered(rows)
+        else:  # of all rows at most one in GATHER is a large group
+            rest, most = (join_equal(rows, F.broadcast(large), group, how) for how in ("left_anti", "left_semi"))
+            ends = gathered(rest).unionByName(counted(most))
 
     def between(name: str) -> Column:
         low, high, part = (F.col(f"__{end}_{name}") for end in ("lo", "hi", "part"))

@@ -245,6 +245,24 @@ def test_exports_of_another_shape_are_refused(spark):
         adapter.brand_names(brands).collect()
 
 
+def test_small_groups_are_sorted_once_and_large_ones_by_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([None, rng.random(), 0.5, -0.0])) for g in [*range(40), None] for _ in range(rng.randrange(1, 60))] + [(99, rng.random()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    calls, plain = [], order.running_counts
+    monkeypatch.setattr(order, "running_counts", lambda *a, **k: calls.append(a) or plain(*a, **k))
+
+    def found(nearest):
+        return sorted(map(repr, order.quantiles(df, ["g"], "v", {"a": 0.5, "b": 0.37, "c": 1.0}, nearest).collect()))
+
+    sorted_once = [found(nearest) for nearest in (False, True)]
+    assert not calls
+    for most in (0, 100):
+        monkeypatch.setattr(order, "GATHER", most)
+        assert [[x.replace("-0.0", "0.0") for x in found(nearest)] for nearest in (False, True)] == [[x.replace("-0.0", "0.0") for x in y] for y in sorted_once]
+    assert len(calls) == 4
+
+
 def test_nearest_in_several_blocks(spark):
     rng = random.Random(1)
     vectors = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(4)]) for k in range(60)], "k int, v array<double>")
