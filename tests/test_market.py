@@ -263,6 +263,14 @@ def test_small_groups_are_sorted_once_and_large_ones_by_ranges(spark, monkeypatc
     assert len(calls) == 4
 
 
+def test_profiles_of_small_shops_are_not_counted_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "running_counts", None)
+    rows = [(shop, k, k % 2 == 0, float(k % 3), 2.0 + k, (shop + 1.0) * (k % 2) + k) for shop in range(4) for k in range(10)]
+    df = spark.createDataFrame(rows, "shop int, item int, voucher boolean, discount double, price double, value double")
+    best = tools.best_profile(tools.voucher_profile(df, "shop", "item", "voucher", "discount", "price", "value"), "shop").collect()
+    assert [(x["shop"], x["listings"], x["gap"], x["profile_score"]) for x in best] == [(0, 10, -2.0, 1.0)]
+
+
 def test_nearest_in_several_blocks(spark):
     rng = random.Random(1)
     vectors = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(4)]) for k in range(60)], "k int, v array<double>")
