@@ -1,6 +1,6 @@
 """Order statistics that hold no large group whole: counts per value, running counts over ranges of values, and what follows.
 
-Quantiles of groups of at most `GATHER` values are read from the sorted values of each. For all else rows are counted per group and value first. The values of a group are then cut into at most `RANGES` ranges,
+Quantiles and medians of groups of at most `GATHER` values are read from the sorted values of each. For all else rows are counted per group and value first. The values of a group are then cut into at most `RANGES` ranges,
 whose sums give each range its offset, and running counts are windows over one range only. So a group that
 holds most of all rows is neither sorted nor kept in one task, however many different values it has.
 """
@@ -83,6 +83,36 @@ def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, flo
     return ends.select(*group, *(between(name).alias(name) for name in wanted))
 
 
+def medians_of_groups(df: DataFrame, group: list[str], values: list[str], distinct: dict[str, str], aggregates: dict[str, Column]) -> DataFrame:
+    """Per group: the exact median of each of the values, under its name, the distinct counts (name to column) and other aggregates; nulls are left out.
+
+    Groups of at most `GATHER` rows are read once and leave their tasks as the lists of their values, with all
+    else that is asked of them. Medians of larger ones go by ranges (`quantiles`), so that none meets whole.
+    """
+
+    def listed(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy(*group).agg(
+            *(F.size(F.array_distinct(F.collect_list(c))).cast("long").alias(n) for n, c in distinct.items()),
+            *(c.alias(n) for n, c in aggregates.items()),
+            *(F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in values),
+        )
+        low, high = ({c: F.get(c, f((F.size(c) - 1) * F.lit(0.5)).cast("int")) for c in values} for f in (F.floor, F.ceil))
+        return lists.select(*group, *distinct, *aggregates, *((low[c] + (high[c] - low[c]) * F.lit(0.5)).alias(c) for c in values))
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy(*group).agg(*(F.count_distinct(c).alias(n) for n, c in distinct.items()), *(c.alias(n) for n, c in aggregates.items()))
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("__of"), F.col(c).cast("double").alias("__v")) for c in values))).alias("__cell")
+        medians = quantiles(rows.select(*group, cells).select(*group, "__cell.*"), [*group, "__of"], "__v", {"__median": 0.5})
+        wide = medians.groupBy(*group).agg(*(F.max(F.when(F.col("__of") == c, F.col("__median"))).alias(c) for c in values))
+        return join_equal(counted, wide, group, "left")
+
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > GATHER).drop("__size")
+    if large.isEmpty():
+        return listed(df)
+    rest, most = (join_equal(df, F.broadcast(large), group, how) for how in ("left_anti", "left_semi"))
+    return listed(rest).unionByName(ranged(most))
+
+
 def rank_percentiles(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """df with the average-rank percentile of value in its group: (rank - 1) / (n - 1); a lone value 0.5, null for null."""
     counted = running_counts(df, group, value)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numbers import cosine, shared_depth
 from quern.functions.text import all_nines, jaccard, tokens
-from quern.operators.order import ALL, join_equal, quantiles, scaled
+from quern.operators.order import ALL, join_equal, medians_of_groups, quantiles, scaled
 from quern.operators.relational import ContractError, best_of
 from quern.operators.vectors import cosine_candidates
 
@@ -109,13 +109,11 @@ def voucher_profile(df: DataFrame, shop: str, key: str, voucher: str, discount:
     Each is scaled to 0..1 over the shops with enough listings and both groups, and weighted .4, .3, .3.
     """
     has = F.col(voucher)
-    rated = df.select(shop, key, has.alias("__has"), F.try_divide(F.col(discount).cast("double"), F.col(price)).alias("__depth"), F.col(value).cast("double").alias("__value"))
-    by_shop = rated.groupBy(shop).agg(F.count_distinct(key).alias("listings"), F.avg(F.col("__has").cast("double")).alias("rate"))
-    # One pass for the three medians of a shop: of depth, and of value on both sides.
-    cells = F.explode(F.array(F.struct(F.lit("depth").alias("part"), F.col("__depth").alias("v")), F.struct(F.when(F.col("__has"), "with").otherwise("without").alias("part"), F.col("__value").alias("v"))))
-    medians = quantiles(rated.select(shop, cells.alias("c")).select(shop, "c.part", "c.v"), [shop, "part"], "v", {"median": 0.5})
-    wide = medians.groupBy(shop).agg(*(F.max(F.when(F.col("part") == p, F.col("median"))).alias(p) for p in ("depth", "with", "without")))
-    able = by_shop.join(wide, shop).where((F.col("listings") >= least) & F.col("with").isNotNull() & F.col("without").isNotNull()).withColumn("gap", F.col("with") - F.col("without"))
+    depth, worth = F.try_divide(F.col(discount).cast("double"), F.col(price)), F.col(value).cast("double")
+    sides = {"__depth": depth, "__with": F.when(has, worth), "__without": F.when(~F.coalesce(has, F.lit(False)), worth)}
+    rated = df.where(F.col(shop).isNotNull()).select(shop, F.col(key).alias("__key"), has.cast("double").alias("__has"), *(c.alias(n) for n, c in sides.items()))
+    shops = medians_of_groups(rated, [shop], list(sides), {"listings": "__key"}, {"rate": F.avg("__has")})
+    able = shops.where((F.col("listings") >= least) & F.col("__with").isNotNull() & F.col("__without").isNotNull()).withColumns({"depth": F.col("__depth"), "gap": F.col("__with") - F.col("__without")})
     made = scaled(able, [], {"__rate": "rate", "__deep": "depth", "__wide": "gap"})
     total = sum((w * F.col(c) for w, c in zip(PROFILE_WEIGHTS, ("__rate", "__deep", "__wide"), strict=True)), F.lit(0.0))
     return made.select(shop, "listings", F.round("rate", 6).alias("rate"), F.round("depth", 6).alias("depth"), F.round("gap", 4).alias("gap"), F.round(total, 4).alias("profile_score"))

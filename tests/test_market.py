@@ -271,6 +271,36 @@ def test_profiles_of_small_shops_are_not_counted_by_ranges(spark, monkeypatch):
     assert [(x["shop"], x["listings"], x["gap"], x["profile_score"]) for x in best] == [(0, 10, -2.0, 1.0)]
 
 
+def test_profiles_take_their_rows_once_and_large_shops_by_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(s, rng.choice([None, *range(9)]), rng.choice([None, True, False]), rng.choice([None, 0.0, 0.05, rng.random()]), rng.choice([0.0, 2.0, 7.0]), rng.choice([None, rng.random() * 9, 4.0])) for s in [*range(30), None] for _ in range(rng.randrange(1, 80))]
+    df = spark.createDataFrame(rows, "shop int, item int, voucher boolean, discount double, price double, value double")
+
+    def profiles():
+        return tools.voucher_profile(df, "shop", "item", "voucher", "discount", "price", "value")
+
+    def middle(values):
+        return statistics.median(v) if (v := [x for x in values if x is not None]) else None
+
+    want = {}
+    for s in range(30):
+        of = [x for x in rows if x[0] == s]
+        listings, rated = len({x[1] for x in of if x[1] is not None}), [x[2] for x in of if x[2] is not None]
+        with_, without = (middle([x[5] for x in of if (x[2] is True) == side]) for side in (True, False))
+        depth = middle([x[3] / x[4] for x in of if x[3] is not None and x[4]])
+        if listings >= 5 and with_ is not None and without is not None:
+            want[s] = (listings, sum(rated) / len(rated), depth, with_ - without)
+    once = profiles()
+    assert "Generate" not in once._jdf.queryExecution().toString()
+    found = {x["shop"]: x for x in once.collect()}
+    assert set(found) == set(want) and len(want) > 10
+    for s, (listings, rate, depth, gap) in want.items():
+        assert found[s]["listings"] == listings and abs(found[s]["rate"] - rate) < 1e-6 and abs(found[s]["depth"] - depth) < 1e-6 and abs(found[s]["gap"] - gap) < 1e-4
+    for most in (0, 40):
+        monkeypatch.setattr(order, "GATHER", most)
+        assert {x["shop"]: x for x in profiles().collect()} == found
+
+
 def test_nearest_in_several_blocks(spark):
     rng = random.Random(1)
     vectors = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(4)]) for k in range(60)], "k int, v array<double>")
